@@ -7,9 +7,9 @@ runs and with itself; windows that also start in a document of smaller id are hi
 becomes a run, and when there are ``FANOUT`` of them they are compacted into one.
 
 Hits are verified: stretches of consecutive hits that meet the same stretch of one earlier document are
-compared by the BLAKE2b digests of the words themselves, taken from both texts. A fingerprint is a
-bucket and 48 further bits, so false hits are some 4 in 10^9 windows at any size; if a stretch differs, the batch
-is run again with other and longer fingerprints.
+compared by the BLAKE2b digests of the words themselves, taken from both texts. A fingerprint is 56 bits
+besides its bucket, so false hits are some 2 in 10^11 windows; if a stretch differs, the
+whole is run again with other and longer fingerprints.
 
 Fingerprints travel packed, thousands to a row, so neither documents nor windows are rows of a shuffle, and a window
 that very many documents share is a stretch of an array.
@@ -38,8 +38,7 @@ from tessella.llm.words import Hasher, chunks, mix, ngrams, rows_of, space_table
 WINDOW = 13
 FANOUT = 4
 #: Windows gathered in a task before they are dealt out.
-FLUSH = 1 << 21
-#: Parts that hits are dealt into, by document, for each bucket bit doubled.
+FLUSH = 1 << 20
 BLOB = "kind int, bucket int, ids binary, counts binary, fps binary, pos binary"
 BLOB_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("fps", pa.binary()), ("pos", pa.binary())])
 NEW, OLD, HIT, RUN = 0, 1, 2, 3
@@ -166,7 +165,7 @@ def stretches(table: pa.Table) -> pa.Table:
 class FingerprintIndex:
     """Runs of window fingerprints in the shared folder; ``ingest`` takes batches in any order of ids, finding hits on what is there and in the batch itself."""
 
-    def __init__(self, spark: SparkSession, bits: int, width: int = 6, seed: int = 0):
+    def __init__(self, spark: SparkSession, bits: int, width: int = 7, seed: int = 0):
         self.spark, self.bits, self.width, self.seed = spark, bits, width, seed
         self.runs: list[str] = []
 
@@ -234,8 +233,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if low is None:
         low = high = 0
     border = int(low + (high - low) * history_share)
-    bits = bucket_bits(input_bytes(docs) / 3)  # a window is about six bytes of text, which files hold in half of that
-    for width, seed in ((6, 0), (7, 1), (7, 2), (7, 3)):
+    bits = bucket_bits(input_bytes(docs) / 3, 7e5)  # a window is about six bytes of text, which files hold in half of that
+    for width, seed in ((7, 0), (8, 1), (8, 2), (8, 3)):
         index = FingerprintIndex(spark, bits, width, seed)
         hits = index.ingest(rows.where(F.col("id") <= border))
         hits = hits.unionByName(index.ingest(rows.where(F.col("id") > border), last=True))
