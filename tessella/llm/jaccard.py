@@ -7,12 +7,13 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
     the radius lacks at most ``n - ceil(0.8 n)`` of its shingles, so the boundary window of a document
     is its first ``n - ceil(0.8 n) + 1`` shingles: it is replicated to those regions, and every pair within
     the radius meets in one. Regions of few documents are joined at once.
-2.  Regions of many documents are joined recursively. Their shingles go to the end of the order and their documents are
-    dealt out again, which dissolves regions that a common passage made. What is left are near copies
-    of one another. There, documents are pivots: all of a region that is not connected to a pivot is measured
-    against it, what lies within the radius joins its component, and pairs are left out if they are connected or
-    if their distances to a pivot differ by more than the radius (triangle inequality). Pivots that are done leave the
-    region, until it is one component or has no pair left.
+2.  Regions of many documents are joined recursively. Common shingles come late in the order, so that what only shares a
+    passage or a line does not meet: at first those that repeat within a task's share of documents, then those of crowded regions,
+    whose documents are dealt out again. What is left are near copies of one another. Regions that share documents
+    form a block, and in a block documents are pivots: distances to a pivot are measured, what lies within the radius joins
+    its component, and a document is only measured where its distances to all pivots differ by no more than the radius
+    (triangle inequality). A block too large for one task is worked through region by region over the cluster, a few
+    pivots a round, each against all documents of the region that are not yet connected to it.
 
 The order only changes what work is done, never the result. Equal sets are one class, represented by its smallest
 id, and enter a region once. Candidate pairs are verified on whole texts.
@@ -42,10 +43,16 @@ SHINGLE = 5
 #: Similarity in hundredths.
 LEAST = 80
 #: Regions of more documents are joined recursively.
-REGION = 24
-#: Shingles that can go to the end of the order; those of the largest regions come first.
+REGION = 16
+#: Shingles that can come late in the order, the most common ones: a bound on what is broadcast.
 LATE = 1 << 18
+#: A shingle is common if so many different documents among those of one flush have it.
+COMMON = 4
 FLUSH = 1 << 20
+#: Shingles of a block that one task takes.
+BLOCK = 1 << 22
+#: Pivots of a block whose distances are kept.
+PIVOTS = 8
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -87,21 +94,53 @@ def fingerprints(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def profiles(rows: DataFrame) -> DataFrame:
-    """(id, n, f1, f2): size and fingerprints of every document's set."""
+def profiles(rows: DataFrame, bits: int) -> DataFrame:
+    """(id, n, f1, f2, common): size and fingerprints of every document's set; with ``common``, region names (id) of shingles that are common in a task's share of documents, and in how many (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, held, count = Shingler(), [], 0
+        names, kinds = ["id", "n", "f1", "f2", "common"], (*[pa.int64()] * 4, pa.bool_())
+
+        def flush() -> pa.RecordBatch:
+            h, classes = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((classes, h))
+            h, classes = h[order], classes[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (classes[1:] != classes[:-1])
+            h = h[new]
+            edges = split_sorted(h)
+            size = np.diff(edges)
+            often = size >= COMMON
+            none = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(pivot_of(h[edges[:-1]][often], bits).view(np.int64)), pa.array(size[often], pa.int64()), none, none, pa.array(np.ones(len(none), bool))], names)
+
         for batch in batches:
             data, bounds = utf8(batch.column(1))
             parts = []
             for i, j in chunks(bounds):
                 h, start = shingler.sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                parts.append((np.diff(start), *fingerprints(h, start)))
+                n = np.diff(start)
+                parts.append((n, *fingerprints(h, start)))
+                held.append((h, np.repeat(parts[-1][1], n)))
+                count += len(h)
+                if count >= FLUSH:
+                    yield flush()
+                    held, count = [], 0
             n, a, b = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], ["id", "n", "f1", "f2"])
+            own = (batch.column(0), n, a.view(np.int64), b.view(np.int64), np.zeros(len(n), bool))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds, strict=True)], names)
+        if held:
+            yield flush()
 
-    return map_arrow(rows, run, "id long, n long, f1 long, f2 long")
+    return map_arrow(rows, run, "id long, n long, f1 long, f2 long, common boolean")
+
+
+def late_shingles(counted: DataFrame) -> bytes:
+    """The ``LATE`` most common of (name, n), sorted by name, and how late each comes: a broadcast of bounded size."""
+    most = counted.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(LATE).toArrow()
+    names, n = most["name"].to_numpy().astype(np.int64).view(np.uint64), most["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order].tobytes() + np.log2(n[order] + 1).astype(np.uint8).tobytes()
 
 
 def pivot_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -113,8 +152,8 @@ POSTING = "bucket int, fps binary, ids binary, sizes binary, classes binary"
 POSTING_ARROW = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary())])
 
 
-def replicate(rows: DataFrame, bits: int, late=None, only=None) -> DataFrame:
-    """Replicates documents to the regions of their windows, packed by bucket. ``late``: a broadcast of regions that come last in the order; ``only``: of flags for the documents that take part."""
+def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
+    """Replicates documents to the regions of their windows, packed by bucket. ``late``: a broadcast of shingles that come late in the order; ``only``: of flags for the documents that take part."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, ids, sizes, classes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -135,7 +174,8 @@ def replicate(rows: DataFrame, bits: int, late=None, only=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, count = Shingler(), [], 0
-        last = np.frombuffer(late.value, np.uint64) if late is not None else np.zeros(0, np.uint64)
+        known = len(late.value) // 9
+        last, level = np.frombuffer(late.value, np.uint64, known), np.frombuffer(late.value, np.uint8, known, 8 * known)
         mark = flags([only.value]) if only is not None else None
         for batch in batches:
             wanted = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -153,7 +193,7 @@ def replicate(rows: DataFrame, bits: int, late=None, only=None) -> DataFrame:
                     name = pivot_of(h, bits)
                     at = np.searchsorted(last, name)
                     at[at == len(last)] = 0
-                    order = np.lexsort((h, last[at] == name, row))
+                    order = np.lexsort((h, np.where(last[at] == name, level[at], 0), row))
                     h = h[order]
                 window = n - (4 * n + 4) // 5 + 1
                 inside = np.arange(len(h)) - start[row] < window[row]
@@ -253,6 +293,69 @@ def linked(measured: DataFrame) -> DataFrame:
     return measured.where((100 * F.col("shared") >= LEAST * F.col("total")) & (F.col("total") > 0)).select("a", "b").distinct()
 
 
+def join_block(table: pa.Table) -> pa.Table:
+    """Links that connect what is linked in one block of near copies (block, id, packed)."""
+    shingler, opener = Shingler(), zstandard.ZstdDecompressor()
+    ids = table["id"].to_numpy()
+    sets = [shingler.of(opener.decompress(x)) for x in table["packed"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    m = len(sets)
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)[np.argsort(dense, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(dense))])
+    mine = np.split(dense, np.cumsum(size)[:-1])
+
+    def shared(x: int) -> np.ndarray:
+        """Size of the intersection of one set with each."""
+        s = mine[x]
+        length = first[s + 1] - first[s]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1]) + np.repeat(first[s] - ends + length, length)
+        return np.bincount(owner[at], minlength=m)
+
+    free = size > 0
+    distances = np.zeros((0, m))
+    links = []
+    for start in range(m):
+        queue = [start] if free[start] else []
+        free[start] = False
+        while queue:
+            x = queue.pop()
+            near = free & (100 * np.minimum(size, size[x]) >= LEAST * np.maximum(size, size[x]))
+            if len(distances):  # a margin for rounding, on the safe side
+                near &= (np.abs(distances - distances[:, x : x + 1]) <= (100 - LEAST) / 100 + 1e-9).all(axis=0)
+            if len(distances) == PIVOTS and not near.any():
+                continue
+            both = shared(x)
+            union = size + size[x] - both
+            if len(distances) < PIVOTS:
+                distances = np.concatenate([distances, (1 - both / np.maximum(union, 1))[None]])
+            for y in np.flatnonzero(near & (100 * both >= LEAST * union)).tolist():
+                free[y] = False
+                queue.append(y)
+                links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    links = [p for p in links if p[0] != p[1]]
+    return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def join_blocks(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links needed to connect what is linked within crowded regions (region, id, n), and those given."""
+    if crowded.limit(1).count() == 0:
+        return links
+    hubs = crowded.groupBy("region").agg(F.min("id").alias("hub"))
+    edges = crowded.join(hubs, "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    named = components(edges).withColumnRenamed("component", "block")
+    members = cut(crowded.select("id", "n").distinct().join(named, "id"), "members")
+    sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
+    small = members.join(sizes.where(F.col("total") <= BLOCK).select("block"), "block").select("block", "id").distinct()
+    found = small.join(texts, "id").groupBy("block").applyInArrow(join_block, "a long, b long")
+    links = cut(links.unionByName(found).distinct(), "links")
+    large = cut(members.join(sizes.where(F.col("total") > BLOCK).select("block"), "block").select("id").distinct(), "large")
+    if large.limit(1).count() == 0:
+        return links
+    return join_crowded(cut(crowded.join(large, "id").select("region", "id", "n"), "regions"), links, texts)
+
+
 def join_crowded(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     """All links needed to connect what is linked within regions (region, id, n), given those found elsewhere.
 
@@ -300,13 +403,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = bucket_bits(input_bytes(docs) / 15, 4e5)  # a posting for about thirty bytes of text
-    sets = cut(profiles(rows), "sets")
-    found = cut(replicate(rows, bits).groupBy("bucket").applyInArrow(join_bucket, FOUND), "regions")
-    crowded = found.where("crowded")
-    pairs = found.where("not crowded").select("a", "b")
-    most = [r.a for r in crowded.groupBy("a").count().orderBy(F.desc("count"), "a").limit(LATE).select("a").collect()]
-    if most:
-        late = context.broadcast(np.sort(np.array(most, np.int64).view(np.uint64)).tobytes())
+    scanned = cut(profiles(rows, bits), "sets")
+    sets = scanned.where("not common").drop("common")
+    common = scanned.where("common").select(F.col("id").alias("name"), "n")
+    found = cut(replicate(rows, bits, context.broadcast(late_shingles(common))).groupBy("bucket").applyInArrow(join_bucket, FOUND), "regions")
+    crowded, pairs = found.where("crowded"), found.where("not crowded").select("a", "b")
+    if crowded.limit(1).count():
+        met = crowded.groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        late = context.broadcast(late_shingles(common.unionByName(met)))
         again = cut(replicate(rows, bits, late, flag_parts(crowded.select("b"), context)).groupBy("bucket").applyInArrow(join_bucket, FOUND), "regions")
         pairs = pairs.unionByName(again.where("not crowded").select("a", "b"))
         crowded = again.where("crowded")
@@ -321,8 +425,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
     bridges = named.join(repeated, "id").join(classes, ["f1", "f2", "n"]).where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
     links = cut(links.unionByName(bridges).distinct(), "links")
-    links = join_crowded(crowded, links, texts)
-    labels = components(links)
+    labels = components(join_blocks(crowded, links, texts))
     own = sets.join(classes.withColumnRenamed("least", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     joined = own.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
