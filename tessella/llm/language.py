@@ -135,9 +135,12 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 11
 
 def sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
     """At most ``rows`` labelled rows of the learnable part, by the order of a hash of the id."""
-    picked = docs.where(learnable(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    picked = picked.select(F.encode(F.col(text_col), "UTF-8").alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.lit("lang"), F.col(id_col)).alias("h")).orderBy("h", "t", "l").limit(rows)
-    got = picked.collect()
+    known = docs.where(learnable(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    known = known.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.encode(F.col(text_col), "UTF-8").alias("t"))
+    # ids first, so that no task sends more than ids; then the texts of those alone
+    ids = known.select(F.xxhash64(F.lit("lang"), F.col("i")).alias("h"), "i").distinct().orderBy("h", "i").limit(rows)
+    got = known.join(F.broadcast(ids), "i").collect()
+    got.sort(key=lambda r: (r.h, r.t, r.l))
     return [bytes(r.t) for r in got], [r.l for r in got]
 
 
