@@ -36,16 +36,16 @@ WHERE p_size = 15 AND p_type LIKE '%ECONOMY' AND r_name = 'EUROPE' AND ps_supply
   SELECT min(c.ps_supplycost) FROM partsupp c JOIN supplier z ON z.s_suppkey = c.ps_suppkey JOIN nation y ON y.n_nationkey = z.s_nationkey JOIN region x ON x.r_regionkey = y.n_regionkey
   WHERE c.ps_partkey = p_partkey AND x.r_name = 'EUROPE')
 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
-add("03", f"""SELECT l_orderkey, round(sum({NET}), 2) AS revenue, o_orderdate FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+add("03", f"""SELECT l_orderkey, round(sum({NET}), 4) AS revenue, o_orderdate FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < date '1998-03-15' AND l_shipdate > date '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY sum({NET}) DESC, o_orderdate, l_orderkey LIMIT 10""")
 add("04", """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= date '1997-07-01' AND o_orderdate < date '1997-07-01' + interval '3' month
 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority ORDER BY o_orderpriority""")
-add("05", f"""SELECT n_name, round(sum({NET}), 2) AS revenue FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+add("05", f"""SELECT n_name, round(sum({NET}), 4) AS revenue FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
 WHERE r_name = 'ASIA' AND o_orderdate >= date '1997-01-01' AND o_orderdate < date '1997-01-01' + interval '1' year GROUP BY n_name ORDER BY revenue DESC""")
 add("06", """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
 WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1996-01-01' + interval '1' year AND l_discount BETWEEN 0.06 - 0.01 AND 0.06 + 0.01 AND l_quantity < 24""")
-add("07", f"""SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+add("07", f"""SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
   SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS int) AS l_year, {NET} AS volume
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey
   WHERE ((a.n_name = 'NATION_1' AND b.n_name = 'NATION_2') OR (a.n_name = 'NATION_2' AND b.n_name = 'NATION_1')) AND l_shipdate BETWEEN date '1997-01-01' AND date '1998-12-31') AS shipping
@@ -57,13 +57,13 @@ SHARE = f"""SELECT o_year, round(sum({{share}}) / sum(volume), 6) AS mkt_share F
   WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' AND o_orderdate BETWEEN date '1997-01-01' AND date '1998-12-31') AS all_nations GROUP BY o_year ORDER BY o_year"""
 add("08", SHARE.format(share="CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END"))
 add("08a", SHARE.format(share="CASE nation WHEN 'NATION_3' THEN volume ELSE 0 END"))
-add("09", f"""SELECT nation, o_year, round(sum(amount), 2) AS sum_profit FROM (
+add("09", f"""SELECT nation, o_year, round(sum(amount), 4) AS sum_profit FROM (
   SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS int) AS o_year, {NET} - ps_supplycost * l_quantity AS amount FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
   JOIN partsupp ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%ring%') AS profit
 GROUP BY nation, o_year ORDER BY nation, o_year DESC""")
-add("10", f"""SELECT c_custkey, c_name, round(sum({NET}), 2) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey
+add("10", f"""SELECT c_custkey, c_name, round(sum({NET}), 4) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey
 WHERE o_orderdate >= date '1997-10-01' AND o_orderdate < date '1997-10-01' + interval '3' month AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY sum({NET}) DESC, c_custkey LIMIT 20""")
-add("11", """SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 2) AS value FROM partsupp JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_7'
+add("11", """SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 4) AS value FROM partsupp JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_7'
 GROUP BY ps_partkey HAVING sum(ps_supplycost * ps_availqty) > (
   SELECT sum(ps_supplycost * ps_availqty) * 0.0001 FROM partsupp JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_7')
 ORDER BY value DESC, ps_partkey""")
@@ -83,7 +83,7 @@ WHERE l_shipdate >= date '1997-09-01' AND l_shipdate < date '1997-09-01' + inter
 add("14", PROMO.format(promo=f"CASE WHEN p_type LIKE 'PROMO%' THEN {NET} ELSE 0 END"))
 add("14a", PROMO.format(promo=f"CASE substring(p_type FROM 1 FOR 5) WHEN 'PROMO' THEN {NET} ELSE 0 END"))
 
-REVENUE = f"""revenue AS (SELECT l_suppkey AS supplier_no, round(sum({NET}), 2) AS total_revenue FROM lineitem
+REVENUE = f"""revenue AS (SELECT l_suppkey AS supplier_no, round(sum({NET}), 4) AS total_revenue FROM lineitem
   WHERE l_shipdate >= date '1997-01-01' AND l_shipdate < date '1997-01-01' + interval '3' month GROUP BY l_suppkey)"""
 add("15a", f"""WITH {REVENUE} SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""")
@@ -107,7 +107,7 @@ WHERE p_brand = 'Brand#23' AND l_quantity < (SELECT 0.2 * avg(z.l_quantity) FROM
 add("18", """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, round(sum(l_quantity), 2) AS sum_qty FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 300)
 GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""")
-add("19", f"""SELECT round(sum({NET}), 2) AS revenue FROM lineitem JOIN part ON
+add("19", f"""SELECT round(sum({NET}), 4) AS revenue FROM lineitem JOIN part ON
   (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 25)
   OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
   OR (p_partkey = l_partkey AND p_brand = 'Brand#15' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""")
