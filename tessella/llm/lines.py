@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.blobs import flag_slots, flags
 from tessella.llm.common import cut, map_arrow
@@ -151,7 +152,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [*names, "__lines", "__removed"])
 
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").select(*(docs[c] for c in names), "__gone")
-    schema = type(docs.schema)(docs.schema.fields).add("__lines", "long").add("__removed", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     done = map_arrow(joined, run, schema)
     if stats:
         return done.select(id_col, F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col(text_col).alias("kept"))
