@@ -155,7 +155,7 @@ def merged(column: str):
 
     def step(done, r):
         last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))
+        joined = F.named_struct(F.lit("start"), last["start"], F.lit("stop"), F.greatest(last["stop"], r["stop"]))
         return F.when(F.size(done) == 0, F.array(r)).when(r["start"] <= last["stop"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
 
     return F.aggregate(F.array_sort(column), empty, step)
