@@ -5,7 +5,9 @@ overflows is shared again by weight. Every document of a source is then taken ``
 size)`` times for certain, and the rest of the target goes to documents in Pareto order: by random odds
 divided by inclusion odds, odds(u) / odds(p). Inclusion probabilities differ between sources and not
 within one, so a source's order is that of u; its sample is fixed in words. Only the bucket of u in which the target is reached
-is looked at document by document: there, in order, each document that still fits is taken.
+is looked at document by document: there, in order, each document that still fits is taken, and at last the
+smallest that did not fit, if the sum is nearer to the target with it. Of ``DRAWS`` fillings, the first of the order
+itself, that which comes nearest is taken, so that sources of few documents meet their targets too.
 
 u is a hash of the id, so reruns agree. No source is gathered in one task: sizes, buckets and boundary
 buckets (about ``bucket_rows`` documents, or one id's repeated rows) are pre-aggregated.
@@ -24,6 +26,8 @@ from tessella.llm.common import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEED = "mix"
+#: Places in the order of a boundary bucket from which it is tried to fill the target.
+DRAWS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -83,15 +87,13 @@ def decisions(sized: DataFrame, bucket_rows: int = 1000, **shares) -> DataFrame:
     reached = sums.withColumn("sum", F.sum("words").over(upto)).where(F.col("sum") >= F.col("need"))
     edges = reached.groupBy("source").agg(F.min(F.struct("bucket", (F.col("need") - F.col("sum") + F.col("words")).alias("left"))).alias("e")).select(F.col("source").alias("e_source"), F.col("e.bucket").alias("edge"), F.col("e.left").alias("left"))
     at_edge = placed.join(edges, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge")))
-    ranked = at_edge.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("u", "id", "size"))).alias("docs"), F.first("left").alias("left"))
-    start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-    # a document fits if taking it brings the sum nearer to what is needed
-    fits = lambda acc, d: (d["size"] <= 2 * acc["left"]) & (d["size"] > 0)
-    taken = F.aggregate(
-        "docs", start,
-        lambda acc, d: F.when(fits(acc, d), F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["ids"], F.array(d["id"])).alias("ids"))).otherwise(acc),
-        lambda acc: acc["ids"],
-    )
+    ranked = at_edge.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("u", "id", "size"))).alias("docs"), F.first("left").alias("left"), F.first("need").alias("need"))
+    # the order, and the same order begun further on
+    begins = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: F.floor(k * F.size("docs") / DRAWS).cast("int"))
+    draws = F.transform(begins, lambda at: F.concat(F.slice("docs", at + 1, F.size("docs")), F.slice("docs", 1, at)))
+    fine = F.greatest(F.lit(1.0), F.lit(0.002) * F.col("need"))
+    tried = F.transform(draws, lambda docs, k: _fill(docs, k, fine))
+    taken = F.array_min(tried)["ids"]
     chosen = ranked.select(F.col("source").alias("c_source"), taken.alias("chosen"))
     e = edges.select("e_source", "edge")
     return (
@@ -101,6 +103,26 @@ def decisions(sized: DataFrame, bucket_rows: int = 1000, **shares) -> DataFrame:
     )
 
 
+def _fill(docs: Column, draw_number: Column, fine: Column) -> Column:
+    """(how far from the need, in steps of ``fine``; number of the draw; ids): documents taken in the order given."""
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ids"), F.lit(None).cast("struct<size:bigint,id:bigint>").alias("over"))
+
+    def step(acc: Column, d: Column) -> Column:
+        """Takes a document that fits; of those that do not, remembers the smallest."""
+        skipped = F.least(acc["over"], F.named_struct(F.lit("size"), d["size"], F.lit("id"), d["id"]))
+        ids = F.when(d["size"] == 0, acc["ids"]).otherwise(F.concat(acc["ids"], F.array(d["id"])))
+        taken = F.named_struct(F.lit("left"), acc["left"] - d["size"], F.lit("ids"), ids, F.lit("over"), acc["over"])
+        return F.when(d["size"] <= acc["left"], taken).otherwise(F.named_struct(F.lit("left"), acc["left"], F.lit("ids"), acc["ids"], F.lit("over"), skipped))
+
+    def end(acc: Column) -> Column:
+        nearer = F.coalesce(acc["over"]["size"] < 2 * acc["left"], F.lit(False))
+        gap = F.when(nearer, acc["over"]["size"] - acc["left"]).otherwise(acc["left"])
+        ids = F.when(nearer, F.concat(acc["ids"], F.array(acc["over"]["id"]))).otherwise(acc["ids"])
+        return F.named_struct(F.lit("gap"), F.floor(gap / fine), F.lit("draw"), draw_number, F.lit("ids"), ids)
+
+    return F.aggregate(docs, start, step, end)
+
+
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), draw(F.col(id_col), seed).alias("u"))
 
