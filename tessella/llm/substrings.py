@@ -15,7 +15,7 @@ Fingerprints travel packed, thousands to a row, so neither documents nor windows
 that very many documents share is a stretch of an array.
 
 Defined cases: null and empty texts have no words; texts of fewer than 13 words are kept whole; rows
-that repeat a doc_id are not smaller than one another; rows without an id are kept whole and remove
+that repeat a doc_id are not smaller than one another, also with different texts; rows without an id are kept whole and remove
 nothing; an empty table gives an empty result; further columns are dropped.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from tessella.llm.words import Hasher, chunks, mix, ngrams, rows_of, space_table
 
 WINDOW = 13
 FANOUT = 4
+#: Bytes of a place: the number of the word, and above 32 bits the tag of a text whose id repeats; empty planes cost next to nothing.
+PLACE = 6
 #: Windows gathered in a task before they are dealt out.
 FLUSH = 1 << 20
 BLOB = "kind int, bucket int, ids binary, counts binary, fps binary, pos binary"
@@ -44,6 +47,11 @@ BLOB_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa
 NEW, OLD, HIT, RUN = 0, 1, 2, 3
 
 
+def tag(raw: bytes, seed: int) -> int:
+    """Tells texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(raw, seed) & 0x7FFF
+
+
 def _row(kind: int, bucket: int, ids=b"", counts=b"", fps=b"", pos=b"") -> tuple:
     return kind, bucket, ids, counts, fps, pos
 
@@ -52,8 +60,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(BLOB_ARROW.types)], schema=BLOB_ARROW)
 
 
-def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int) -> DataFrame:
-    """Fingerprints of all windows of (id, text), dealt into 2^bits buckets, packed."""
+def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int, repeated=None) -> DataFrame:
+    """Fingerprints of all windows of (id, text), dealt into 2^bits buckets, packed. Of ids flagged in ``repeated``, places carry a tag of the text."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, pos, fps = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -63,7 +71,7 @@ def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int) -> DataF
         edges, rows = split_sorted(bucket), []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             runs = split_sorted(ids[a:b])
-            rows.append(_row(NEW, int(bucket[a]), pack(ids[a:b][runs[:-1]].astype(np.uint64)), pack(np.diff(runs), 4), pack(fps[a:b], width), pack(pos[a:b], 4)))
+            rows.append(_row(NEW, int(bucket[a]), pack(ids[a:b][runs[:-1]].astype(np.uint64)), pack(np.diff(runs), 4), pack(fps[a:b], width), pack(pos[a:b], PLACE)))
             if len(rows) == 256:
                 yield _batch(rows)
                 rows = []
@@ -72,10 +80,14 @@ def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = Hasher(space_table(), False), [], 0
+        marked = flags([repeated.value]) if repeated is not None else None
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, bounds = utf8(batch.column(1))
+            tags = np.zeros(len(ids), np.int64)
+            for i in np.flatnonzero(marked[flag_slots(ids)]) if marked is not None else ():
+                tags[i] = tag(data[bounds[i] : bounds[i + 1]].tobytes(), seed)
             for i, j in chunks(bounds):
                 words, first = hasher.words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 fps = ngrams(words, WINDOW)
@@ -84,7 +96,7 @@ def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int) -> DataF
                 row = rows_of(first)
                 start = np.flatnonzero(row[: len(fps)] == row[WINDOW - 1 :])  # windows within one row
                 fps = fps[start] if not seed else mix(fps[start] ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-                held.append((ids[i:j][row[start]], (start - first[row[start]]).astype(np.uint32), fps))
+                held.append((ids[i:j][row[start]], (start - first[row[start]]) + (tags[i:j][row[start]] << 32), fps))
                 n += len(start)
                 if n >= FLUSH:
                     yield from flush(held)
@@ -103,7 +115,7 @@ def merge_bucket(table: pa.Table, width: int, parts: int, keep: bool) -> pa.Tabl
     out: list[tuple] = []
     counts = unpack_all(take("counts", NEW), 4).astype(np.int64)
     ids = np.repeat(unpack_all(take("ids", NEW)).view(np.int64), counts)
-    fps, pos = unpack_all(take("fps", NEW), width), unpack_all(take("pos", NEW), 4).astype(np.int64)
+    fps, pos = unpack_all(take("fps", NEW), width), unpack_all(take("pos", NEW), PLACE).astype(np.int64)
     if len(fps):
         order = np.lexsort((pos, ids, fps))
         fps, ids, pos = fps[order], ids[order], pos[order]
@@ -116,7 +128,7 @@ def merge_bucket(table: pa.Table, width: int, parts: int, keep: bool) -> pa.Tabl
             at = np.searchsorted(run, unique)
             at[at == len(run)] = 0
             known = run[at] == unique if len(run) else np.zeros(len(unique), bool)
-            run_id, run_pos = unpack(old_ids).view(np.int64)[at], unpack(old_pos, 4).astype(np.int64)[at]
+            run_id, run_pos = unpack(old_ids).view(np.int64)[at], unpack(old_pos, PLACE).astype(np.int64)[at]
             better = known & (run_id < first_id)
             first_id[better], first_pos[better] = run_id[better], run_pos[better]
         least, least_pos = np.repeat(first_id, size), np.repeat(first_pos, size)
@@ -129,18 +141,18 @@ def merge_bucket(table: pa.Table, width: int, parts: int, keep: bool) -> pa.Tabl
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 h = hit[a:b]
                 # the distance between the two places is mostly that of the entry before
-                out.append(_row(HIT, int(part[a]), pack(ids[h].astype(np.uint64)), pack(least[h].astype(np.uint64)), pack((least_pos[h] - pos[h]).astype(np.int64).view(np.uint64)), pack(pos[h], 4)))
+                out.append(_row(HIT, int(part[a]), pack(ids[h].astype(np.uint64)), pack(least[h].astype(np.uint64)), pack((least_pos[h] - pos[h]).astype(np.int64).view(np.uint64)), pack(pos[h], PLACE)))
         if keep:
-            out.append(_row(RUN, bucket, pack(own_id.astype(np.uint64)), b"", pack(unique, width), pack(own_pos, 4)))
+            out.append(_row(RUN, bucket, pack(own_id.astype(np.uint64)), b"", pack(unique, width), pack(own_pos, PLACE)))
     return pa.Table.from_batches([_batch(out)], BLOB_ARROW)
 
 
 def compact_bucket(table: pa.Table, width: int) -> pa.Table:
     """All runs of a bucket as one: each fingerprint with the smallest document and word."""
-    fps, ids, pos = unpack_all(table["fps"].to_pylist(), width), unpack_all(table["ids"].to_pylist()).view(np.int64), unpack_all(table["pos"].to_pylist(), 4)
+    fps, ids, pos = unpack_all(table["fps"].to_pylist(), width), unpack_all(table["ids"].to_pylist()).view(np.int64), unpack_all(table["pos"].to_pylist(), PLACE)
     order = np.lexsort((pos, ids, fps))
     first = order[split_sorted(fps[order])[:-1]]
-    return pa.Table.from_batches([_batch([_row(RUN, int(table["bucket"][0].as_py()), pack(ids[first].astype(np.uint64)), b"", pack(fps[first], width), pack(pos[first], 4))])], BLOB_ARROW)
+    return pa.Table.from_batches([_batch([_row(RUN, int(table["bucket"][0].as_py()), pack(ids[first].astype(np.uint64)), b"", pack(fps[first], width), pack(pos[first], PLACE))])], BLOB_ARROW)
 
 
 STRETCH = "id long, pos binary, len binary, other binary, other_pos binary"
@@ -149,7 +161,7 @@ STRETCH = "id long, pos binary, len binary, other binary, other_pos binary"
 def stretches(table: pa.Table) -> pa.Table:
     """Hits of one part of the documents as stretches of consecutive windows that meet consecutive windows of one other document."""
     ids, other = unpack_all(table["ids"].to_pylist()).view(np.int64), unpack_all(table["counts"].to_pylist()).view(np.int64)
-    shift, pos = unpack_all(table["fps"].to_pylist()).view(np.int64), unpack_all(table["pos"].to_pylist(), 4).astype(np.int64)
+    shift, pos = unpack_all(table["fps"].to_pylist()).view(np.int64), unpack_all(table["pos"].to_pylist(), PLACE).astype(np.int64)
     order = np.lexsort((pos, ids))
     ids, other, shift, pos = ids[order], other[order], shift[order], pos[order]
     new = np.ones(len(ids), bool)
@@ -165,8 +177,8 @@ def stretches(table: pa.Table) -> pa.Table:
 class FingerprintIndex:
     """Runs of window fingerprints in the shared folder; ``ingest`` takes batches in any order of ids, finding hits on what is there and in the batch itself."""
 
-    def __init__(self, spark: SparkSession, bits: int, width: int = 7, seed: int = 0):
-        self.spark, self.bits, self.width, self.seed = spark, bits, width, seed
+    def __init__(self, spark: SparkSession, bits: int, width: int = 7, seed: int = 0, repeated=None):
+        self.spark, self.bits, self.width, self.seed, self.repeated = spark, bits, width, seed, repeated
         self.runs: list[str] = []
 
     def _history(self) -> DataFrame | None:
@@ -177,7 +189,7 @@ class FingerprintIndex:
     def ingest(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Packed hits of (id, text). The batch becomes a run, unless it is the ``last``."""
         width, parts = self.width, 1 << self.bits
-        rows, history = fingerprint_rows(docs, self.bits, width, self.seed), self._history()
+        rows, history = fingerprint_rows(docs, self.bits, width, self.seed, self.repeated), self._history()
         if history is not None:
             rows = rows.unionByName(history)
         merged = rows.groupBy("bucket").applyInArrow(lambda t: merge_bucket(t, width, parts, not last), BLOB)
@@ -202,21 +214,21 @@ DONE = "id long, n_words long, n_removed long, kept_sha256 string, kept string,
 CHECK_ARROW = pa.list_(pa.struct([("other", pa.int64()), ("pos", pa.int64()), ("len", pa.int64()), ("digest", pa.binary())]))
 
 
-def finish_text(raw: bytes, ident: int | None, pos, length, other, other_pos, asked: list[dict], with_text: bool) -> tuple:
+def finish_text(raw: bytes, ident: int | None, pos, length, other, other_pos, asked: list[dict], with_text: bool, own_tag: int) -> tuple:
     """Removes what stretches cover and takes the digests that verify them: of the own stretches, and of those asked for."""
     words = raw.split()
     gone = np.zeros(len(words) + 1, np.int64)
     checks = []
     span = lambda a, n: hashlib.blake2b(b" ".join(words[a : a + n + WINDOW - 1]), digest_size=16).digest()
     for a, n, o, p in zip(pos, length, other, other_pos, strict=True):
-        if a + n + WINDOW - 1 > len(words):
-            continue  # another row of the same id
-        gone[a] += 1
-        gone[a + n + WINDOW - 1] -= 1
-        checks.append({"other": o, "pos": p, "len": n, "digest": span(a, n)})
+        if a >> 32 == own_tag:  # not of another row of the same id
+            a &= 0xFFFFFFFF
+            gone[a] += 1
+            gone[a + n + WINDOW - 1] -= 1
+            checks.append({"other": o, "pos": p, "len": n, "digest": span(a, n)})
     for q in asked:
-        if q["pos"] + q["len"] + WINDOW - 1 <= len(words):
-            checks.append({"other": ident, "pos": q["pos"], "len": q["len"], "digest": span(q["pos"], q["len"])})
+        if q["pos"] >> 32 == own_tag:
+            checks.append({"other": ident, "pos": q["pos"], "len": q["len"], "digest": span(q["pos"] & 0xFFFFFFFF, q["len"])})
     keep = np.cumsum(gone[:-1]) == 0
     kept = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k) if checks else b" ".join(words)
     return ident, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, checks
@@ -234,12 +246,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low = high = 0
     border = int(low + (high - low) * history_share)
     bits = bucket_bits(input_bytes(docs) / 3, 7e5)  # a window is about six bytes of text, which files hold in half of that
+    several = cut(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    repeated = flag_parts(several, spark.sparkContext) if several.limit(1).count() else None
     for width, seed in ((7, 0), (8, 1), (8, 2), (8, 3)):
-        index = FingerprintIndex(spark, bits, width, seed)
+        index = FingerprintIndex(spark, bits, width, seed, repeated)
         hits = index.ingest(rows.where(F.col("id") <= border))
         hits = hits.unionByName(index.ingest(rows.where(F.col("id") > border), last=True))
         found = cut(hits.groupBy("bucket").applyInArrow(stretches, STRETCH), "stretches")
-        done = _finish(rows, found, with_text)
+        done = _finish(rows, found, with_text, seed, repeated)
         wrong = done.select(F.explode("checks").alias("c")).select("c.*").groupBy("other", "pos", "len").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").limit(1).count()
         if not wrong:
             names = ["n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
@@ -259,7 +273,7 @@ def _ask(found: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.collect_list(F.struct("pos", "len")).alias("asked"))
 
 
-def _finish(rows: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
+def _finish(rows: DataFrame, found: DataFrame, with_text: bool, seed: int, repeated) -> DataFrame:
     """Result rows with the digests that verify them. Texts that no stretch touches end in the scan; others travel compressed to their stretches."""
     context = rows.sparkSession.sparkContext
     asks = cut(_ask(found), "asks")
@@ -283,6 +297,7 @@ def _finish(rows: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
+        doubled = flags([repeated.value]) if repeated is not None else None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -290,7 +305,9 @@ def _finish(rows: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
                     out.append((r["id"], r["n_words"], 0, r["kept_sha256"], r["kept"], []))
                 else:
                     own = [unpack(r[c] or b"").view(np.int64).tolist() for c in ("pos", "len", "other", "other_pos")]
-                    out.append(finish_text(opener.decompress(r["packed"]), r["id"], *own, r["asked"] or [], with_text))
+                    raw = opener.decompress(r["packed"])
+                    own_tag = tag(raw, seed) if doubled is not None and doubled[flag_slots(np.array([r["id"]]))[0]] else 0
+                    out.append(finish_text(raw, r["id"], *own, r["asked"] or [], with_text, own_tag))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), CHECK_ARROW))], ["id", "n_words", "n_removed", "kept_sha256", "kept", "checks"])
 
     scanned = map_arrow(rows, first, "id long, packed binary, n_words long, kept_sha256 string, kept string")
