@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_SCHEMAS: weakref.WeakKeyDictionary[SparkSession, dict[str, StructType]] = weakref.WeakKeyDictionary()
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,7 +27,14 @@ def build(app: str = "tessella", cpus: int | None = None, **conf: str) -> SparkS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A fixture table. Its schema is read from the files once a session; later reads need no job to find it out."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = _SCHEMAS.setdefault(spark, {})
+    if path in known:
+        return spark.read.schema(known[path]).parquet(path)
+    df = spark.read.parquet(path)
+    known[path] = df.schema
+    return df
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
