@@ -86,7 +86,10 @@ def compare(df: DataFrame, name: str, op: str, literal: object) -> Column:
     if isinstance(literal, float) and math.isnan(literal):
         raise ValueError("comparison with NaN")
     column = F.col(quoted(name))
-    held = COMPARISONS[op](column, F.lit(literal))
+    bound = F.lit(literal)
+    if isinstance(literal, datetime.datetime) and isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        bound = F.lit(literal.isoformat(sep=" ")).cast("timestamp_ntz")  # else every row is cast, and nothing is pushed to the scan
+    held = COMPARISONS[op](column, bound)
     return held & ~F.isnan(column) if op in (">", ">=") and is_floating(df, name) else held
 
 
