@@ -41,7 +41,7 @@ FANOUT = 4
 #: Bytes of a place: the number of the word, and above 32 bits the tag of a text whose id repeats; empty planes cost next to nothing.
 PLACE = 6
 #: Windows gathered in a task before they are dealt out.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BLOB = "kind int, bucket int, ids binary, counts binary, fps binary, pos binary"
 BLOB_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("fps", pa.binary()), ("pos", pa.binary())])
 NEW, OLD, HIT, RUN = 0, 1, 2, 3
@@ -245,7 +245,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if low is None:
         low = high = 0
     border = int(low + (high - low) * history_share)
-    bits = bucket_bits(input_bytes(docs) / 3, 7e5)  # a window is about six bytes of text, which files hold in half of that
+    bits = bucket_bits(input_bytes(docs) / 3, 3.5e5)  # a window is about six bytes of text, which files hold in half of that
     several = cut(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
     repeated = flag_parts(several, spark.sparkContext) if several.limit(1).count() else None
     for width, seed in ((7, 0), (8, 1), (8, 2), (8, 3)):
