@@ -48,7 +48,10 @@ REGION = 16
 LATE = 1 << 18
 #: A shingle is common if so many different documents among those of one flush have it.
 COMMON = 4
+#: Shingles that are counted together.
 FLUSH = 1 << 20
+#: Replicas gathered in a task before they are dealt out.
+DEAL = 1 << 19
 #: Shingles of a block that one task takes.
 BLOCK = 1 << 22
 #: Pivots of a block whose distances are kept.
@@ -199,7 +202,7 @@ def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
                 inside = np.arange(len(h)) - start[row] < window[row]
                 held.append((h[inside], ids[i:j][row[inside]], n[row[inside]].astype(np.uint64), classes[row[inside]]))
                 count += int(inside.sum())
-                if count >= FLUSH:
+                if count >= DEAL:
                     yield from flush(held)
                     held, count = [], 0
         if count:
