@@ -99,6 +99,61 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT row_number() OVER () AS rid, doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+per AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM per),
+levels AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE)
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+filled AS (
+  SELECT source, n_docs, source_size, least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target FROM levels),
+wholes AS (
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END + CAST(1e-12 AS DOUBLE)) AS BIGINT) AS whole,
+         greatest(1, CAST(ceil(CAST(n_docs AS DOUBLE) / 1000) AS BIGINT)) AS buckets
+  FROM filled),
+goals AS (SELECT *, greatest(target - CAST(whole * source_size AS DOUBLE), CAST(0 AS DOUBLE)) AS need FROM wholes),
+placed AS (
+  SELECT rid, id, s.source, size, u, source_size, target, whole, need, CAST(floor(u * buckets) AS BIGINT) AS bucket
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+sums AS (SELECT source, bucket, CAST(sum(size) AS DOUBLE) AS words, any_value(need) AS need FROM placed GROUP BY source, bucket),
+reached AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM sums),
+edges AS (
+  SELECT source, bucket AS edge, need, need - upto + words AS room
+  FROM reached WHERE upto >= need QUALIFY row_number() OVER (PARTITION BY source ORDER BY bucket) = 1),
+line AS (
+  SELECT e.source, id, size, e.need, room, row_number() OVER (PARTITION BY e.source ORDER BY u, id, size) - 1 AS pos, count(*) OVER (PARTITION BY e.source) AS n
+  FROM placed p JOIN edges e ON p.source IS NOT DISTINCT FROM e.source AND p.bucket = e.edge),
+draws AS (SELECT *, (pos - (k * n) // 8 + n) % n AS step FROM line, range(0, 8) AS t(k)),
+walk AS (
+  SELECT source, k, CAST(-1 AS BIGINT) AS step, any_value(room) AS room, any_value(need) AS need, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS over_size, CAST(NULL AS BIGINT) AS over_id
+  FROM draws GROUP BY source, k
+  UNION ALL
+  SELECT w.source, w.k, d.step, CASE WHEN d.size <= w.room THEN w.room - d.size ELSE w.room END, w.need, CASE WHEN d.size <= w.room AND d.size > 0 THEN d.id END,
+         CASE WHEN d.size <= w.room OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_size ELSE d.size END,
+         CASE WHEN d.size <= w.room OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_id ELSE d.id END
+  FROM walk w JOIN draws d ON w.source IS NOT DISTINCT FROM d.source AND w.k = d.k AND d.step = w.step + 1),
+ends AS (
+  SELECT source, k, need, room, over_size, over_id, coalesce(over_size < 2 * room, false) AS nearer
+  FROM walk QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY step DESC) = 1),
+best AS (
+  SELECT * FROM ends
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY floor(CASE WHEN nearer THEN over_size - room ELSE room END / greatest(CAST(1 AS DOUBLE), CAST(0.002 AS DOUBLE) * need)), k) = 1),
+chosen AS (
+  SELECT w.source, w.taken AS id FROM walk w JOIN best b ON w.source IS NOT DISTINCT FROM b.source AND w.k = b.k WHERE w.taken IS NOT NULL
+  UNION SELECT source, over_id FROM best WHERE nearer)
+SELECT p.id AS doc_id, size, source_size, target, p.source AS source,
+       CAST(size * (whole + CASE WHEN bucket < edge THEN 1
+                                 WHEN bucket = edge AND EXISTS (SELECT 1 FROM chosen c WHERE c.source IS NOT DISTINCT FROM p.source AND c.id = p.id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed p LEFT JOIN edges e ON p.source IS NOT DISTINCT FROM e.source
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -123,7 +178,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (html)
 """
 
-ORACLES = {"op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
