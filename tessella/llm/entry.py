@@ -84,6 +84,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)
 """
 
+#: Exact search, which the operator's is at small numbers of vectors.
+OP5_SQL = r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+ok AS (
+  SELECT DISTINCT vec_id, len(x) AS dim, x FROM v
+  WHERE len(list_filter(x, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND len(list_filter(x, lambda a: a <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         max(list_inner_product(q.x, c.x) / (sqrt(list_inner_product(q.x, q.x)) * sqrt(list_inner_product(c.x, c.x)))) AS score
+  FROM ok q JOIN ok c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
 OP6_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -178,7 +192,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (html)
 """
 
-ORACLES = {"op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op4_benchmark_decontamination": OP4_SQL, "op5_nearest_neighbours": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f

@@ -81,8 +81,9 @@ class Rotations:
 
 
 def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision and always in the same order of additions."""
-    return (q * c).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((c * c).sum(axis=1)))
+    """Row by row, in double precision, components added one after another as SQL engines add them."""
+    dot = lambda x, y: np.add.reduce(np.ascontiguousarray((x * y).T), axis=0)
+    return dot(q, c) / (np.sqrt(dot(q, q)) * np.sqrt(dot(c, c)))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
