@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import cut, map_arrow
 
@@ -86,8 +87,14 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return dot(q, c) / (np.sqrt(dot(q, q)) * np.sqrt(dot(c, c)))
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """(id, dim, vec, cls) of the vectors that take part: doubles as bytes, and a digest that equal vectors share."""
+def kind_of(rows: DataFrame, vector_col: str) -> type:
+    """The number type in which vectors travel without loss: single precision where the column has it."""
+    element = getattr(rows.schema[vector_col].dataType, "elementType", None)
+    return np.float32 if isinstance(element, T.FloatType) else np.float64
+
+
+def _vectors(rows: DataFrame, kind: type) -> DataFrame:
+    """(id, dim, vec, cls) of the vectors that take part: numbers as bytes, and a digest that equal vectors share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,19 +106,19 @@ def _vectors(rows: DataFrame) -> DataFrame:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # one zero
                 if np.isfinite(x).all() and x.any():
-                    raw = x.tobytes()
+                    raw = x.astype(kind).tobytes()
                     out.append((ids[i].as_py(), len(x), raw, hashlib.blake2b(raw, digest_size=16).digest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "dim", "vec", "cls"])
 
     return map_arrow(rows, run, "id long, dim int, vec binary, cls binary")
 
 
-BLOB = "dim int, bucket long, kind int, ids binary, cls binary, vecs binary"
-BLOB_ARROW = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("cls", pa.binary()), ("vecs", pa.binary())])
+BLOB = "dim int, bucket long, role int, ids binary, cls binary, vecs binary"
+BLOB_ARROW = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("role", pa.int32()), ("ids", pa.binary()), ("cls", pa.binary()), ("vecs", pa.binary())])
 
 
-def _deal(rows: DataFrame, kind: int, k: int, probes: int) -> DataFrame:
-    """Packs vectors by the buckets they are in (kind 0, one a table) or that they probe (kind 1)."""
+def _deal(rows: DataFrame, role: int, k: int, probes: int, kind: type) -> DataFrame:
+    """Packs vectors by the buckets they are in (role 0, one a table) or that they probe (role 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Rotations] = {}
@@ -122,7 +129,8 @@ def _deal(rows: DataFrame, kind: int, k: int, probes: int) -> DataFrame:
                 where = np.flatnonzero(dims == dim)
                 for at in range(0, len(where), 4096):
                     w = where[at : at + 4096]
-                    x = np.frombuffer(b"".join(vecs[i] for i in w), np.float64).reshape(len(w), dim)
+                    sent = np.frombuffer(b"".join(vecs[i] for i in w), kind).reshape(len(w), dim)
+                    x = sent.astype(np.float64)
                     scale = np.abs(x).max(axis=1, keepdims=True)
                     unit = x / scale
                     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
@@ -136,19 +144,20 @@ def _deal(rows: DataFrame, kind: int, k: int, probes: int) -> DataFrame:
                         edges = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1, [len(order)]])
                         for a, b in zip(edges[:-1], edges[1:], strict=True):
                             mine = row[order[a:b]]
-                            out.append((dim, int(flat[order[a]]) * TABLES + table, kind, ids[w[mine]].astype(np.int64).tobytes(), b"".join(classes[i] for i in w[mine]), x[mine].tobytes()))
+                            out.append((dim, int(flat[order[a]]) * TABLES + table, role, ids[w[mine]].astype(np.int64).tobytes(), b"".join(classes[i] for i in w[mine]), sent[mine].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(BLOB_ARROW.types)], schema=BLOB_ARROW)
 
     return map_arrow(rows, run, BLOB)
 
 
-def _rerank(table: pa.Table, top: int) -> pa.Table:
+def _rerank(table: pa.Table, top: int, kind: type) -> pa.Table:
     """The ``top`` nearest candidates of each query of one bucket, by exact cosine."""
     dim = table["dim"][0].as_py()
-    kinds = table["kind"].to_pylist()
-    part = lambda name, kind: b"".join(x for x, k in zip(table[name].to_pylist(), kinds, strict=True) if k == kind)
-    ids, c = np.frombuffer(part("ids", 0), np.int64), np.frombuffer(part("vecs", 0), np.float64).reshape(-1, dim)
-    classes, q = part("cls", 1), np.frombuffer(part("vecs", 1), np.float64).reshape(-1, dim)
+    roles = table["role"].to_pylist()
+    part = lambda name, role: b"".join(x for x, r in zip(table[name].to_pylist(), roles, strict=True) if r == role)
+    numbers = lambda role: np.frombuffer(part("vecs", role), kind).reshape(-1, dim).astype(np.float64)
+    ids, c = np.frombuffer(part("ids", 0), np.int64), numbers(0)
+    classes, q = part("cls", 1), numbers(1)
     found: list[tuple] = []
     if len(ids) and len(q):
         order = np.argsort(ids, kind="stable")
@@ -173,7 +182,8 @@ def _rerank(table: pa.Table, top: int) -> pa.Table:
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the ``top`` nearest found among all other rows."""
-    valid = cut(_vectors(vectors.select(F.col(id_col).cast("long"), F.col(vector_col))), "vectors")
+    kind = kind_of(vectors, vector_col)
+    valid = cut(_vectors(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)), kind), "vectors")
     smallest = Window.partitionBy("dim", "cls").orderBy("id")
     indexed = cut(valid.dropDuplicates(["id", "dim", "cls"]).withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= top + 1).drop("n"), "indexed")
     n = max(1, indexed.count())
@@ -182,8 +192,8 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
     probes = int(min(axes, 4096, max(LEAST_PROBES * 8 ** (k - 1), np.ceil(CANDIDATES * axes / (TABLES * n)))))
     queries = valid.where(F.col("id") % every == 0)
     asked = queries.groupBy("dim", "cls").agg(F.min("id").alias("id"), F.first("vec").alias("vec")).select("id", "dim", "vec", "cls")
-    blobs = _deal(indexed, 0, k, 1).unionByName(_deal(asked, 1, k, probes))
-    met = blobs.groupBy("dim", "bucket").applyInArrow(lambda t: _rerank(t, top + 1), "cls binary, vec_id long, score double")
+    blobs = _deal(indexed, 0, k, 1, kind).unionByName(_deal(asked, 1, k, probes, kind))
+    met = blobs.groupBy("dim", "bucket").applyInArrow(lambda t: _rerank(t, top + 1, kind), "cls binary, vec_id long, score double")
     each = met.groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("cls").orderBy(F.col("score").desc(), "vec_id")
     few = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top + 1).drop("n")
