@@ -86,6 +86,13 @@ def test_neighbours(spark):
     assert len(top) == 300 and [r[2] for r in top if r[0] == 2950] == [0, 1, 2, 3, 4] and sorted(r[2] for r in top if r[0] == 0) == [1, 2, 3, 4, 5]
 
 
+def test_neighbours_of_double_precision(spark):
+    """Vectors that differ by less than single precision can tell are neither one class nor of one score."""
+    data = [(0, [1.0, 0.0]), (1, [1.0, 2e-8]), (2, [1.0 + 1e-12, 1.0]), (3, [1.0, 1.0])]
+    got = rows(neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "query_id", "rank", "vec_id", "score")
+    assert [r[2] for r in got] == [1, 2, 3] and got[1][3] > got[2][3]
+
+
 def test_jaccard(docs, none):
     got = rows(jaccard.groups(docs), "doc_id", "n_shingles", "component_id")
     assert len(got) == len(ROWS) and got.count((2, 11, 1)) == 2 and (1, 11, 1) in got and (None, 11, None) in got and (None, 0, None) in got
