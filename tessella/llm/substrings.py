@@ -3,7 +3,7 @@
 Every window of ``WINDOW`` words has a fingerprint. The index holds immutable runs: for each bucket of
 fingerprints, the sorted fingerprints of the documents taken in so far with the first document and
 word in which each starts. A new batch is dealt into the same buckets, sorted, and merge-joined with the
-runs and with itself; windows that also start in a document of smaller id are hits. The batch then
+runs and with itself; windows that also start in a document of smaller id are hits, those of one task's share before they are dealt. The batch then
 becomes a run, and when there are ``FANOUT`` of them they are compacted into one.
 
 Hits are verified: stretches of consecutive hits that meet the same stretch of one earlier document are
@@ -11,8 +11,8 @@ compared by the BLAKE2b digests of the words themselves, taken from both texts.
 besides its bucket, so false hits are some 2 in 10^11 windows; if a stretch differs, the
 whole is run again with other and longer fingerprints.
 
-Fingerprints travel packed, thousands to a row, so neither documents nor windows are rows of a shuffle, and a window
-that very many documents share is a stretch of an array.
+Fingerprints travel packed, many to a row, so neither documents nor windows are rows of a shuffle; a window
+that very many documents share comes to its bucket once from each task's share.
 
 Defined cases: null and empty texts have no words; texts of fewer than 13 words are kept whole; rows
 that repeat a doc_id are not smaller than one another, also with different texts; rows without an id are kept whole and remove
@@ -60,11 +60,49 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(BLOB_ARROW.types)], schema=BLOB_ARROW)
 
 
+def hits_within(ids: np.ndarray, pos: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that also start in a document of smaller id among those given, and for each the first such window of the smallest id."""
+    order = np.argsort(fps)
+    same = fps[order[1:]] == fps[order[:-1]]
+    member = np.zeros(len(fps), bool)
+    member[order[1:][same]] = member[order[:-1][same]] = True
+    some = np.flatnonzero(member)
+    some = some[np.lexsort((pos[some], ids[some], fps[some]))]
+    edges = split_sorted(fps[some])
+    first = np.repeat(some[edges[:-1]], np.diff(edges))
+    later = ids[some] > ids[first]
+    return some[later], first[later]
+
+
+def hit_rows(ids: np.ndarray, pos: np.ndarray, other: np.ndarray, other_pos: np.ndarray, parts: int) -> list[tuple]:
+    """Packed hits, by part of the documents."""
+    if not len(ids):
+        return []
+    part = flag_slots(ids) % parts
+    order = np.lexsort((pos, ids, part))
+    ids, pos, other, other_pos, part = ids[order], pos[order], other[order], other_pos[order], part[order]
+    cuts = split_sorted(part)
+    # the distance between the two places is mostly that of the entry before
+    shift = (other_pos - pos).astype(np.int64).view(np.uint64)
+    return [_row(HIT, int(part[a]), pack(ids[a:b].astype(np.uint64)), pack(other[a:b].astype(np.uint64)), pack(shift[a:b]), pack(pos[a:b], PLACE)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int, repeated=None) -> DataFrame:
-    """Fingerprints of all windows of (id, text), dealt into 2^bits buckets, packed. Of ids flagged in ``repeated``, places carry a tag of the text."""
+    """Fingerprints of all windows of (id, text), dealt into 2^bits buckets, packed. Of ids flagged in ``repeated``, places carry a tag of the text.
+
+    Of a window that several documents of a flush share, only that of the smallest id goes to its bucket; the others are hits
+    already, dealt by document. So a bucket gets a window once from each flush, however many documents hold it.
+    """
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, pos, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        hit, first = hits_within(ids, pos, fps)
+        known = hit_rows(ids[hit], pos[hit], ids[first], pos[first], 1 << bits)
+        for k in range(0, len(known), 256):
+            yield _batch(known[k : k + 256])
+        rest = np.ones(len(ids), bool)
+        rest[hit] = False
+        ids, pos, fps = ids[rest], pos[rest], fps[rest]
         bucket = (fps >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")  # within a bucket, rows stay as they came
         ids, pos, fps, bucket = ids[order], pos[order], fps[order], bucket[order]
@@ -108,11 +146,11 @@ def fingerprint_rows(docs: DataFrame, bits: int, width: int, seed: int, repeated
 
 
 def merge_bucket(table: pa.Table, width: int, parts: int, keep: bool) -> pa.Table:
-    """One bucket: merge-joins new windows with runs; gives packed hits by part of the documents, and the batch's run if ``keep``."""
+    """One bucket: merge-joins new windows with runs; gives packed hits by part of the documents, those found before too, and the batch's run if ``keep``."""
     kinds = table["kind"].to_numpy()
     bucket = int(table["bucket"][0].as_py())
     take = lambda name, which: [x for x, k in zip(table[name].to_pylist(), kinds, strict=True) if k == which]
-    out: list[tuple] = []
+    out = [_row(HIT, bucket, *x) for x in zip(*(take(c, HIT) for c in ("ids", "counts", "fps", "pos")), strict=True)]
     counts = unpack_all(take("counts", NEW), 4).astype(np.int64)
     ids = np.repeat(unpack_all(take("ids", NEW)).view(np.int64), counts)
     fps, pos = unpack_all(take("fps", NEW), width), unpack_all(take("pos", NEW), PLACE).astype(np.int64)
@@ -133,15 +171,7 @@ def merge_bucket(table: pa.Table, width: int, parts: int, keep: bool) -> pa.Tabl
             first_id[better], first_pos[better] = run_id[better], run_pos[better]
         least, least_pos = np.repeat(first_id, size), np.repeat(first_pos, size)
         hit = np.flatnonzero(ids > least)
-        if len(hit):
-            part = flag_slots(ids[hit]) % parts
-            order = np.lexsort((pos[hit], ids[hit], part))
-            hit, part = hit[order], part[order]
-            cuts = split_sorted(part)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                h = hit[a:b]
-                # the distance between the two places is mostly that of the entry before
-                out.append(_row(HIT, int(part[a]), pack(ids[h].astype(np.uint64)), pack(least[h].astype(np.uint64)), pack((least_pos[h] - pos[h]).astype(np.int64).view(np.uint64)), pack(pos[h], PLACE)))
+        out += hit_rows(ids[hit], pos[hit], least[hit], least_pos[hit], parts)
         if keep:
             out.append(_row(RUN, bucket, pack(own_id.astype(np.uint64)), b"", pack(unique, width), pack(own_pos, PLACE)))
     return pa.Table.from_batches([_batch(out)], BLOB_ARROW)
