@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,12 +152,24 @@ def pivot_of(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h >> np.uint64(64 - bits)) << np.uint64(48)) | (h & LOW48)
 
 
-POSTING = "bucket int, fps binary, ids binary, sizes binary, classes binary"
-POSTING_ARROW = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary())])
+POSTING = "bucket int, crowded boolean, fps binary, ids binary, sizes binary, classes binary"
+POSTING_ARROW = pa.schema([("bucket", pa.int32()), ("crowded", pa.bool_()), ("fps", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary())])
 
 
 def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
-    """Replicates documents to the regions of their windows, packed by bucket. ``late``: a broadcast of shingles that come late in the order; ``only``: of flags for the documents that take part."""
+    """Replicates documents to the regions of their windows, packed by bucket. ``late``: a broadcast of shingles that come late in the order; ``only``: of flags for the documents that take part.
+
+    Of a region that is crowded within a flush already, no more documents than show that go to its bucket; the others are
+    dealt by document, as crowded. So a bucket gets a few documents of a region from each flush, however many are in it.
+    """
+
+    def packed(bucket: np.ndarray, crowded: bool, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(bucket, kind="stable")
+        h, ids, sizes, classes, bucket = h[order], ids[order], sizes[order], classes[order], bucket[order]
+        cuts = split_sorted(bucket)
+        out = [(int(bucket[a]), crowded, pack(h[a:b], 8 if crowded else 6), pack(ids[a:b].astype(np.uint64)), pack(sizes[a:b], 4), pack(classes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[k : k + 256]], t) for c, t in enumerate(POSTING_ARROW.types)], schema=POSTING_ARROW)
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, ids, sizes, classes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -167,13 +180,14 @@ def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
         keep = np.zeros(len(ids), bool)
         keep[order] = ids[order] == least
         h, ids, sizes, classes = h[keep], ids[keep], sizes[keep], classes[keep]
-        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        h, ids, sizes, classes, bucket = h[order], ids[order], sizes[order], classes[order], bucket[order]
-        cuts = split_sorted(bucket)
-        out = [(int(bucket[a]), pack(h[a:b], 6), pack(ids[a:b].astype(np.uint64)), pack(sizes[a:b], 4), pack(classes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for k in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[k : k + 256]], t) for c, t in enumerate(POSTING_ARROW.types)], schema=POSTING_ARROW)
+        name = pivot_of(h, bits)
+        order = np.argsort(name, kind="stable")
+        edges = split_sorted(name[order])
+        beyond = np.zeros(len(h), bool)
+        beyond[order] = np.arange(len(h)) - np.repeat(edges[:-1], np.diff(edges)) > REGION
+        yield from packed(flag_slots(ids[beyond]) % (1 << bits), True, name[beyond], ids[beyond], sizes[beyond], classes[beyond])
+        h, ids, sizes, classes = h[~beyond], ids[~beyond], sizes[~beyond], classes[~beyond]
+        yield from packed((h >> np.uint64(64 - bits)).astype(np.int64), False, h, ids, sizes, classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, count = Shingler(), [], 0
@@ -215,8 +229,11 @@ FOUND = "a long, b long, na long, nb long, crowded boolean"
 
 
 def join_bucket(table: pa.Table) -> pa.Table:
-    """The regions of one bucket: pairs (a < b) of small ones whose sizes allow a link; of large ones, region (a) and document (b)."""
+    """The regions of one bucket: pairs (a < b) of small ones whose sizes allow a link; of large ones, region (a), document (b) and its class (na)."""
     bucket = np.uint64(table["bucket"][0].as_py())
+    apart = table.filter(table["crowded"])
+    far = [unpack_all(apart[c].to_pylist(), w) for c, w in (("fps", 8), ("ids", 8), ("sizes", 4), ("classes", 8))]
+    table = table.filter(pc.invert(table["crowded"]))
     key = unpack_all(table["fps"].to_pylist(), 6) | (bucket << np.uint64(48))
     ids, sizes = unpack_all(table["ids"].to_pylist()).view(np.int64), unpack_all(table["sizes"].to_pylist(), 4).astype(np.int64)
     classes = unpack_all(table["classes"].to_pylist())
@@ -224,7 +241,7 @@ def join_bucket(table: pa.Table) -> pa.Table:
     key, ids, sizes, classes = key[order], ids[order], sizes[order], classes[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])
-    key, ids, sizes = key[new], ids[new], sizes[new]
+    key, ids, sizes, classes = key[new], ids[new], sizes[new], classes[new]
     edges = split_sorted(key)
     start, m = edges[:-1], np.diff(edges)
     pairs = []
@@ -244,8 +261,9 @@ def join_bucket(table: pa.Table) -> pa.Table:
     new[1:] = (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1])
     a, b = a[new], b[new]
     big = np.repeat(m > REGION, m)
-    zero = np.zeros(int(big.sum()), np.int64)
-    columns = [np.concatenate(x) for x in ((ids[a], key[big].view(np.int64)), (ids[b], ids[big]), (sizes[a], zero), (sizes[b], sizes[big]), (np.zeros(len(a), bool), np.ones(len(zero), bool)))]
+    crowd = [np.concatenate([x[big].astype(np.uint64), y]).view(np.int64) for x, y in zip((key, ids, sizes, classes), far, strict=True)]
+    flag = np.arange(len(a) + len(crowd[0])) >= len(a)
+    columns = [*(np.concatenate(x) for x in ((ids[a], crowd[0]), (ids[b], crowd[1]), (sizes[a], crowd[3]), (sizes[b], crowd[2]))), flag]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["a", "b", "na", "nb", "crowded"])
 
 
@@ -418,7 +436,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         pairs = pairs.unionByName(again.where("not crowded").select("a", "b"))
         crowded = again.where("crowded")
     pairs = cut(pairs.distinct(), "pairs")
-    crowded = crowded.select(F.col("a").alias("region"), F.col("b").alias("id"), F.col("nb").alias("n"))
+    # equal sets of different flushes enter a region once
+    once = crowded.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("m"))
+    crowded = cut(once.select(F.col("a").alias("region"), F.col("m.b").alias("id"), F.col("m.nb").alias("n")), "crowded")
     wanted = flag_parts(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")), context)
     texts = cut(packed_texts(rows, wanted), "texts")
     links = linked(measure(pairs, texts))
