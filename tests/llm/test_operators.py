@@ -335,3 +335,23 @@ def test_warc(spark, sf, tmp_path):
     broken = zlib.decompress(warc.encode_record(9, "u", b"payload", None, False), 31).replace(b"payload", b"pAyload")
     with pytest.raises(ValueError, match="digest"):
         list(warc.read_records(io.BytesIO(member.compress(broken) + member.flush())))
+
+
+def test_hits_within_a_share():
+    rng = np.random.default_rng(1)
+    ids, pos, fps = rng.integers(0, 40, 2000), np.arange(2000), rng.integers(0, 600, 2000).astype(np.uint64)
+    least: dict[int, tuple[int, int]] = {}
+    for i, p, f in zip(ids.tolist(), pos.tolist(), fps.tolist(), strict=True):
+        least[f] = min(least.get(f, (i, p)), (i, p))
+    hit, first = substrings.hits_within(ids, pos, fps)
+    want = {p: least[f][1] for i, p, f in zip(ids.tolist(), pos.tolist(), fps.tolist(), strict=True) if i > least[f][0]}
+    assert dict(zip(hit.tolist(), first.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_region_crowded_within_a_share(spark, parts):
+    """Sixty near copies, each with a last word of its own, and copies of them; texts apart stay apart."""
+    base = " ".join(f"w{k}" for k in range(60))
+    data = [(k, f"{base} end{k % 50}") for k in range(5, 65)] + [(1, "a b c d e f g"), (70, "h i j k l m n")]
+    got = by_id(jaccard.groups(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)), "n_shingles", "component_id")
+    assert got == {k: (57, 5) for k in range(5, 65)} | {1: (3, 1), 70: (3, 70)}
