@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
 
 Unit vectors go through fast Hadamard pseudo-rotations (three rounds of random signs and the Hadamard
-transform) and are assigned to the nearest signed axis; ``K`` such rotations name a bucket of a table. A
+transform) and are assigned to the nearest signed axis, which names a bucket of a table. A
 query probes the nearest buckets of each table; every vector found there is a candidate and is reranked by
 the cosine of the original vectors in double precision.
 
 Every vector is indexed. Vectors that are equal in all components are one class: of each class only the
 ``top + 1`` smallest ids can be among anyone's nearest, so only those are indexed, and equal queries are
-searched once; a group of copies, however large, costs no more than a few rows. The number of buckets
-and probes follows the number of indexed vectors, such that a query meets about ``CANDIDATES`` candidates; at
-small numbers all buckets are probed and the search is exact.
+searched once; a group of copies, however large, costs no more than a few rows. The number of probes
+follows the number of indexed vectors, such that a query meets about ``CANDIDATES`` candidates; at
+small numbers all buckets are probed and the search is exact, and at no number are fewer than ``LEAST_PROBES``
+probed. Beyond ``PER_PART`` vectors buckets are split by the digest of a vector, and queries go to all parts: tasks stay
+small, and candidates are the same as without.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without an id; vectors of different lengths do not meet; repeated ids are one candidate for each
@@ -32,9 +34,12 @@ from tessella.llm.common import cut, map_arrow
 
 TABLES = 14
 CANDIDATES = 24_000
-LEAST_PROBES = 4
-#: Vectors beyond which a bucket is named by one rotation more.
-PER_ROTATION = 1 << 20
+#: Buckets probed at any size; fewer lose neighbours, and so do two rotations a bucket with as few candidates.
+LEAST_PROBES = 6
+#: Vectors for each part of the buckets.
+PER_PART = 1 << 21
+#: Places of vectors in buckets that are packed at once.
+DEAL = 1 << 18
 BLOCK = 512
 
 
@@ -83,7 +88,13 @@ class Rotations:
 
 def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, components added one after another as SQL engines add them."""
-    dot = lambda x, y: np.add.reduce(np.ascontiguousarray((x * y).T), axis=0)
+
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for part in np.ascontiguousarray((x * y).T):  # numpy's own sum takes the components of a single row in another order
+            total += part
+        return total
+
     return dot(q, c) / (np.sqrt(dot(q, q)) * np.sqrt(dot(c, c)))
 
 
@@ -117,8 +128,9 @@ BLOB = "dim int, bucket long, role int, ids binary, cls binary, vecs binary"
 BLOB_ARROW = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("role", pa.int32()), ("ids", pa.binary()), ("cls", pa.binary()), ("vecs", pa.binary())])
 
 
-def _deal(rows: DataFrame, role: int, k: int, probes: int, kind: type) -> DataFrame:
-    """Packs vectors by the buckets they are in (role 0, one a table) or that they probe (role 1)."""
+def _deal(rows: DataFrame, role: int, probes: int, parts: int, kind: type) -> DataFrame:
+    """Packs vectors by the buckets they are in (role 0, one part of one a table) or that they probe (role 1, all parts)."""
+    step = max(1, min(4096, DEAL // (TABLES * probes * (parts if role else 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Rotations] = {}
@@ -127,17 +139,19 @@ def _deal(rows: DataFrame, role: int, k: int, probes: int, kind: type) -> DataFr
             vecs, classes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
-                for at in range(0, len(where), 4096):
-                    w = where[at : at + 4096]
+                for at in range(0, len(where), step):
+                    w = where[at : at + step]
                     sent = np.frombuffer(b"".join(vecs[i] for i in w), kind).reshape(len(w), dim)
                     x = sent.astype(np.float64)
                     scale = np.abs(x).max(axis=1, keepdims=True)
                     unit = x / scale
                     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                    rotations = made.setdefault(dim, Rotations(dim, k))
+                    rotations = made.setdefault(dim, Rotations(dim, 1))
+                    part = np.arange(parts)[None] if role else np.array([int.from_bytes(classes[i][:8], "little") % parts for i in w])[:, None]
                     out = []
                     for table in range(TABLES):
                         code = rotations.probes(unit, table, probes)
+                        code = (code[:, :, None] * parts + part[:, None, :]).reshape(len(w), -1)
                         row = np.repeat(np.arange(len(w)), code.shape[1])
                         flat = code.ravel()
                         order = np.argsort(flat, kind="stable")
@@ -187,12 +201,11 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
     smallest = Window.partitionBy("dim", "cls").orderBy("id")
     indexed = cut(valid.dropDuplicates(["id", "dim", "cls"]).withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= top + 1).drop("n"), "indexed")
     n = max(1, indexed.count())
-    k = 1 + int(np.log(max(1.0, n / PER_ROTATION)) / np.log(64) + 0.999) if n > PER_ROTATION else 1
-    axes = 128**k
-    probes = int(min(axes, 4096, max(LEAST_PROBES * 8 ** (k - 1), np.ceil(CANDIDATES * axes / (TABLES * n)))))
+    probes = int(min(128, max(LEAST_PROBES, np.ceil(CANDIDATES * 128 / (TABLES * n)))))
+    parts = -(-n // PER_PART)
     queries = valid.where(F.col("id") % every == 0)
     asked = queries.groupBy("dim", "cls").agg(F.min("id").alias("id"), F.first("vec").alias("vec")).select("id", "dim", "vec", "cls")
-    blobs = _deal(indexed, 0, k, 1, kind).unionByName(_deal(asked, 1, k, probes, kind))
+    blobs = _deal(indexed, 0, 1, parts, kind).unionByName(_deal(asked, 1, probes, parts, kind))
     met = blobs.groupBy("dim", "bucket").applyInArrow(lambda t: _rerank(t, top + 1, kind), "cls binary, vec_id long, score double")
     each = met.groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("cls").orderBy(F.col("score").desc(), "vec_id")

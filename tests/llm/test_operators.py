@@ -144,6 +144,19 @@ def test_recall_when_not_all_buckets_are_probed(spark, sf, monkeypatch):
     assert sum(len(set(exact[q][0]) & set(got.get(q, ([],))[0])) for q in exact) >= 0.9 * 5 * len(exact)
 
 
+def test_recall_beyond_the_size_of_a_part(spark, monkeypatch):
+    """As few probes as at any size, and buckets in several parts: most neighbours are found, and the parts change nothing."""
+    vectors = read(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    find = lambda: by_id(neighbours.nearest(vectors).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("v")), "v", key="query_id")
+    exact = find()
+    monkeypatch.setattr(neighbours, "CANDIDATES", 1)
+    whole = find()
+    monkeypatch.setattr(neighbours, "PER_PART", 300)
+    few = find()
+    assert few == whole
+    assert sum(len({x.vec_id for x in exact[q][0]} & {x.vec_id for x in few[q][0]}) for q in exact) >= 0.92 * 5 * len(exact)
+
+
 def test_rotations():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(50, 48))
