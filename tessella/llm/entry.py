@@ -44,7 +44,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): the digest is of the kept text, of an empty one for null."""
-    done = lines.deduplicate(read(spark, sf_dir, "documents"), stats=True)
+    done = lines.deduplicate(read(spark, sf_dir, "documents"), stats=True, every=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -5,11 +5,15 @@ are cut the same way wherever they stand in a text. Chunks have two to ``MOST``
 line joins the one before. A chunk that also occurs in a document of smaller id is removed, as
 is a second occurrence within a document.
 
+Documents of few lines share passages of few lines, which chunks that hold foreign lines at both ends mostly miss. With ``every``
+the chunks are therefore all pairs of adjacent lines: a run of two or more lines goes, wherever it begins
+and ends, if each of its pairs also occurs in a document of smaller id, or before within the document without overlap.
+
 Chunks that share a digest are compared by their bytes, through grouping by the bytes themselves. Only chunks
 whose digest occurs in two documents take part, flagged by a bitmap of fixed size in the scan. Groups are pre-aggregated.
 
 Defined cases: null texts stay null and empty ones empty, with no line; texts of one line have no chunk and
-are kept; rows that repeat the smallest id keep their chunks, all of them; rows without an id are only
+are kept; no single line is removed; rows that repeat the smallest id keep their chunks, all of them; rows without an id are only
 deduplicated within themselves; other columns are kept as they are.
 """
 
@@ -61,8 +65,13 @@ def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def chunks_of(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, end, bytes) of each chunk."""
+def chunks_of(text: str | None, every: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, end, bytes) of each chunk; with ``every`` of each pair of adjacent lines."""
+    if every:
+        lines = text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+        for k in range(len(lines) - 1):
+            yield k, k + 2, lines[k] + b"\n" + lines[k + 1]
+        return
     lines, ends = chunk(text)
     start = 0
     for end in ends:
@@ -74,32 +83,30 @@ def slot_id(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
-def strip(text: str | None, gone: set[bytes]) -> tuple[str | None, int, int]:
+def strip(text: str | None, gone: set[bytes], every: bool = False) -> tuple[str | None, int, int]:
     """(kept text, lines, removed lines): chunks in ``gone`` and repeats within the text are removed."""
     if not text:
         return text, 0, 0
-    lines, ends = chunk(text)
-    keep, start = [True] * len(lines), 0
-    seen: dict[bytes, bytes] = {}
-    for end in ends:
-        raw = b"\n".join(lines[start:end])
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    keep = [True] * len(lines)
+    seen: dict[bytes, tuple[bytes, int]] = {}
+    for start, end, raw in chunks_of(text, every):
         d = digest(raw)
-        if d in gone or seen.get(d) == raw:
+        before, over = seen.setdefault(d, (raw, end))
+        if d in gone or (over <= start and before == raw):
             keep[start:end] = [False] * (end - start)
-        seen.setdefault(d, raw)
-        start = end
     removed = keep.count(False)
     return (b"\n".join(x for x, k in zip(lines, keep, strict=True) if k).decode("utf-8", "surrogatepass") if removed else text), len(lines), removed
 
 
-def _digests(rows: DataFrame) -> DataFrame:
+def _digests(rows: DataFrame, every: bool) -> DataFrame:
     """(id, slot, digest): each distinct chunk of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {digest(raw) for _, _, raw in chunks_of(text.as_py())}
+                own = {digest(raw) for _, _, raw in chunks_of(text.as_py(), every)}
                 ids += [i] * len(own)
                 out += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([slot_id(d) for d in out], pa.int64()), pa.array(out, pa.binary())], ["id", "slot", "digest"])
@@ -107,7 +114,7 @@ def _digests(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "id long, slot long, digest binary")
 
 
-def _bytes(rows: DataFrame, marked) -> DataFrame:
+def _bytes(rows: DataFrame, marked, every: bool) -> DataFrame:
     """(id, digest, raw) of chunks whose digest is flagged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +122,7 @@ def _bytes(rows: DataFrame, marked) -> DataFrame:
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {digest(raw): raw for _, _, raw in chunks_of(text.as_py())}
+                own = {digest(raw): raw for _, _, raw in chunks_of(text.as_py(), every)}
                 if own:
                     hit = mark[flag_slots(np.array([slot_id(d) for d in own]))]
                     out += [(i, d, raw) for (d, raw), h in zip(own.items(), hit, strict=True) if h]
@@ -124,29 +131,29 @@ def _bytes(rows: DataFrame, marked) -> DataFrame:
     return map_arrow(rows, run, "id long, digest binary, raw binary")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(id, gone): for each document, the digests of its chunks that a document of smaller id holds too."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    held = cut(_digests(rows), "line-chunks")
+    held = cut(_digests(rows, every), "line-chunks")
     shared = held.groupBy("digest", "slot").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     marked = flag_parts(shared.select("slot"), docs.sparkSession.sparkContext)
     # chunks are the same only if their bytes are
-    equal = _bytes(rows, marked).groupBy("digest", "raw").agg(F.min("id").alias("first"), F.max("id").alias("b")).where("first < b").select("digest", "first")
+    equal = _bytes(rows, marked, every).groupBy("digest", "raw").agg(F.min("id").alias("first"), F.max("id").alias("b")).where("first < b").select("digest", "first")
     # bytes that share a digest and differ would stand here twice; neither is then removed
     sure = cut(equal.groupBy("digest").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "line-repeats")
     return held.join(sure, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("gone"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, every: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text; with ``stats`` (id, n_lines, n_removed, kept) instead."""
-    gone = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
+    gone = removals(docs, id_col, text_col, every).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
     if stats:
         docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [strip(t.as_py(), set(g.as_py() or ())) for t, g in zip(batch.column(place), batch.column(len(names)), strict=True)]
+            out = [strip(t.as_py(), set(g.as_py() or ()), every) for t, g in zip(batch.column(place), batch.column(len(names)), strict=True)]
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array([x[0] for x in out], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [*names, "__lines", "__removed"])

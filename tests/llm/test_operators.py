@@ -242,6 +242,31 @@ def test_lines(docs, texts):
     assert sum(v[1] for v in want.values()) > 0
 
 
+def test_every_repeated_run_of_lines_goes(spark, sf, texts):
+    """Pairs of adjacent lines, found without chunks, that stand in a document of smaller id or before in the same one."""
+    first, want, runs = {}, {}, 0
+    for i, t in texts:
+        own = (t or "").split("\n")
+        for p in zip(own, own[1:], strict=False):
+            first.setdefault(p, i)
+    for i, t in texts:
+        own, seen = (t or "").split("\n"), {}
+        gone = set()
+        for k, p in enumerate(zip(own, own[1:], strict=False)):
+            if first[p] < i or seen.setdefault(p, k) <= k - 2:
+                gone |= {k, k + 1}
+        runs += len(gone)
+        kept = "\n".join(x for k, x in enumerate(own) if k not in gone)
+        want[i] = (len(own) if t else 0, len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    assert by_id(entry.op7_line_dedup(spark, sf), "n_lines", "n_removed", "kept_sha256") == want and runs > 0
+
+
+def test_a_run_goes_wherever_it_stands(spark):
+    data = [(1, "p\nq\nr\ns"), (2, "a\nq\nr\nb"), (3, "c\nd\np\nq\nr\ns\ne"), (4, "x\ny\nz\nx\ny"), (5, "m\nm\nm"), (6, "q\nn\nr"), (None, "q\nr\nu")]
+    got = by_id(lines.deduplicate(spark.createDataFrame(data, "doc_id long, text string"), stats=True, every=True), "n_removed", "kept")
+    assert got == {1: (0, "p\nq\nr\ns"), 2: (2, "a\nb"), 3: (4, "c\nd\ne"), 4: (2, "x\ny\nz"), 5: (0, "m\nm\nm"), 6: (0, "q\nn\nr"), None: (0, "q\nr\nu")}
+
+
 def test_chunks_shift_with_their_lines():
     rng = np.random.default_rng(2)
     passage = [f"line {k}" for k in rng.integers(0, 10**6, 60)]
