@@ -181,10 +181,13 @@ def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
         keep[order] = ids[order] == least
         h, ids, sizes, classes = h[keep], ids[keep], sizes[keep], classes[keep]
         name = pivot_of(h, bits)
-        order = np.argsort(name, kind="stable")
-        edges = split_sorted(name[order])
-        beyond = np.zeros(len(h), bool)
-        beyond[order] = np.arange(len(h)) - np.repeat(edges[:-1], np.diff(edges)) > REGION
+        order = np.lexsort((classes, name))  # rows that repeat with their id are one: a region is crowded by different sets
+        name, h, ids, sizes, classes = name[order], h[order], ids[order], sizes[order], classes[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (name[1:] != name[:-1]) | (classes[1:] != classes[:-1])
+        name, h, ids, sizes, classes = name[new], h[new], ids[new], sizes[new], classes[new]
+        edges = split_sorted(name)
+        beyond = np.arange(len(h)) - np.repeat(edges[:-1], np.diff(edges)) > REGION
         yield from packed(flag_slots(ids[beyond]) % (1 << bits), True, name[beyond], ids[beyond], sizes[beyond], classes[beyond])
         h, ids, sizes, classes = h[~beyond], ids[~beyond], sizes[~beyond], classes[~beyond]
         yield from packed((h >> np.uint64(64 - bits)).astype(np.int64), False, h, ids, sizes, classes)

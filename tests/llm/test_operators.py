@@ -393,3 +393,11 @@ def test_a_region_crowded_within_a_share(spark, parts):
     data = [(k, f"{base} end{k % 50}") for k in range(5, 65)] + [(1, "a b c d e f g"), (70, "h i j k l m n")]
     got = by_id(jaccard.groups(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)), "n_shingles", "component_id")
     assert got == {k: (57, 5) for k in range(5, 65)} | {1: (3, 1), 70: (3, 70)}
+
+
+@pytest.mark.parametrize("times", [16, 17, 40])
+def test_a_row_that_repeats_crowds_no_region(spark, times):
+    base = " ".join(f"w{k}" for k in range(60))
+    data = [(1, f"{base} first")] * times + [(2, f"{base} second"), (3, f"{base} third")]
+    got = jaccard.groups(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == times + 2 and {r.component_id for r in got} == {1}
