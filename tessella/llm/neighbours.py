@@ -124,13 +124,17 @@ def _vectors(rows: DataFrame, kind: type) -> DataFrame:
     return map_arrow(rows, run, "id long, dim int, vec binary, cls binary")
 
 
+def probes_of(axes: int, n: int) -> int:
+    """So many of the buckets of a table are probed among ``n`` vectors; ``LEAST_PROBES`` is for 128 buckets."""
+    return int(min(axes, max(np.ceil(LEAST_PROBES * axes / 128), np.ceil(CANDIDATES * axes / (TABLES * n)))))
+
+
 BLOB = "dim int, bucket long, role int, ids binary, cls binary, vecs binary"
 BLOB_ARROW = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("role", pa.int32()), ("ids", pa.binary()), ("cls", pa.binary()), ("vecs", pa.binary())])
 
 
-def _deal(rows: DataFrame, role: int, probes: int, parts: int, kind: type) -> DataFrame:
+def _deal(rows: DataFrame, role: int, counts: dict[int, int], kind: type) -> DataFrame:
     """Packs vectors by the buckets they are in (role 0, one part of one a table) or that they probe (role 1, all parts)."""
-    step = max(1, min(4096, DEAL // (TABLES * probes * (parts if role else 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Rotations] = {}
@@ -139,6 +143,10 @@ def _deal(rows: DataFrame, role: int, probes: int, parts: int, kind: type) -> Da
             vecs, classes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
+                n = counts.get(dim, 1)
+                rotations, parts = made.setdefault(dim, Rotations(dim, 1)), -(-n // PER_PART)
+                probes = probes_of(2 * rotations.size, n) if role else 1
+                step = max(1, min(4096, DEAL // (TABLES * probes * (parts if role else 1))))
                 for at in range(0, len(where), step):
                     w = where[at : at + step]
                     sent = np.frombuffer(b"".join(vecs[i] for i in w), kind).reshape(len(w), dim)
@@ -146,7 +154,6 @@ def _deal(rows: DataFrame, role: int, probes: int, parts: int, kind: type) -> Da
                     scale = np.abs(x).max(axis=1, keepdims=True)
                     unit = x / scale
                     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                    rotations = made.setdefault(dim, Rotations(dim, 1))
                     part = np.arange(parts)[None] if role else np.array([int.from_bytes(classes[i][:8], "little") % parts for i in w])[:, None]
                     out = []
                     for table in range(TABLES):
@@ -200,12 +207,10 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
     valid = cut(_vectors(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)), kind), "vectors")
     smallest = Window.partitionBy("dim", "cls").orderBy("id")
     indexed = cut(valid.dropDuplicates(["id", "dim", "cls"]).withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= top + 1).drop("n"), "indexed")
-    n = max(1, indexed.count())
-    probes = int(min(128, max(LEAST_PROBES, np.ceil(CANDIDATES * 128 / (TABLES * n)))))
-    parts = -(-n // PER_PART)
+    counts = {r["dim"]: r["n"] for r in indexed.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     queries = valid.where(F.col("id") % every == 0)
     asked = queries.groupBy("dim", "cls").agg(F.min("id").alias("id"), F.first("vec").alias("vec")).select("id", "dim", "vec", "cls")
-    blobs = _deal(indexed, 0, 1, parts, kind).unionByName(_deal(asked, 1, probes, parts, kind))
+    blobs = _deal(indexed, 0, counts, kind).unionByName(_deal(asked, 1, counts, kind))
     met = blobs.groupBy("dim", "bucket").applyInArrow(lambda t: _rerank(t, top + 1, kind), "cls binary, vec_id long, score double")
     each = met.groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("cls").orderBy(F.col("score").desc(), "vec_id")

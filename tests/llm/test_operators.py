@@ -157,6 +157,16 @@ def test_recall_beyond_the_size_of_a_part(spark, monkeypatch):
     assert sum(len({x.vec_id for x in exact[q][0]} & {x.vec_id for x in few[q][0]}) for q in exact) >= 0.92 * 5 * len(exact)
 
 
+def test_long_vectors_are_searched_exactly_at_small_numbers(spark):
+    x = np.random.default_rng(4).normal(size=(300, 768))
+    got = by_id(neighbours.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")), "v", key="query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert set(got[q][0]) == set(np.argsort(-s)[:5].tolist())
+
+
 def test_rotations():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(50, 48))
