@@ -36,11 +36,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where that is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark.sparkContext, "_tessella_dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir: executors of a cluster do not see a temporary folder of the driver")
             folder = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
             spark.sparkContext._tessella_dir = folder
     return folder.rstrip("/")
@@ -63,6 +65,28 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all: written beside its place and renamed."""
+    jvm = spark.sparkContext._jvm
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not store.rename(beside, where):
+        raise FileExistsError(path)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store; none where it does not exist."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession

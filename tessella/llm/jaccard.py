@@ -7,20 +7,21 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
     the radius lacks at most ``n - ceil(0.8 n)`` of its shingles, so the boundary window of a document
     is its first ``n - ceil(0.8 n) + 1`` shingles: it is replicated to those regions, and every pair within
     the radius meets in one. Regions of few documents are joined at once.
-2.  Regions of many documents are joined recursively. Common shingles come late in the order, so that what only shares a
+2.  Documents, within regions of many. Common shingles come late in the order, so that what only shares a
     passage or a line does not meet: at first those that repeat within a task's share of documents, then those of crowded regions,
-    whose documents are dealt out again. What is left are near copies of one another. Regions that share documents
-    form a block, and in a block documents are pivots: distances to a pivot are measured, what lies within the radius joins
-    its component, and a document is only measured where its distances to all pivots differ by no more than the radius
-    (triangle inequality). A block too large for one task is worked through region by region over the cluster, a few
-    pivots a round, each against all documents of the region that are not yet connected to it.
+    whose documents are dealt out again. What is left are mostly near copies of one another, and what is known to be connected is not compared again.
+    In each of ``ROUNDS`` rounds the pivots of a region are a document of each of its ``PIVOTS`` largest components; the distances of all its documents to
+    them are measured, and what lies within the radius joins a pivot's component. Regions that then hold more than one component are
+    divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
+    two radii further (triangle inequality). Regions that chose the same pivot share its cell. A cell is joined exactly in parts
+    of bounded size, each part of documents outside the largest component with each part.
 
-The order only changes what work is done, never the result. Equal sets are one class, represented by its smallest
-id, and enter a region once. Candidate pairs are verified on whole texts.
+The order only changes what work is done, never the result. Equal sets (128 bits of fingerprint and the size) are one class, represented by its smallest
+id, and enter a region once. All pairs are verified on the words of whole texts, by comparison and not by hashes.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; texts of fewer than five words
-have one shingle, the whole; rows that repeat an id are one node, linked by each of their texts; rows without an
-id get no component and link with nothing; further columns are dropped.
+have one shingle, the whole; very long texts are hashed in pieces and hold in memory their words and 16 bytes a shingle; rows that repeat an id are one node, linked by each of their texts; rows without an
+id get no component and link with nothing; pairs at exactly the threshold link; an empty table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from tessella.llm.blobs import bucket_bits, flag_slots, flags, pack, split_sorte
 from tessella.llm.common import cut, input_bytes, map_arrow
 from tessella.llm.components import components
 from tessella.llm.flagging import flag_parts
-from tessella.llm.words import Hasher, chunks, mix, ngrams, rows_of, space_table, utf8
+from tessella.llm.words import Hasher, chunks, exact_grams, mix, ngrams, rows_of, space_table, utf8
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -53,10 +54,14 @@ COMMON = 4
 FLUSH = 1 << 20
 #: Replicas gathered in a task before they are dealt out.
 DEAL = 1 << 19
-#: Shingles of a block that one task takes.
-BLOCK = 1 << 22
-#: Pivots of a block whose distances are kept.
-PIVOTS = 8
+#: Shingles and documents of a part of a cell, or of the documents that one task measures to a pivot.
+BLOCK = 1 << 19
+PART = 256
+#: Pivots of a region in a round, and rounds.
+PIVOTS = 4
+ROUNDS = 2
+#: Bytes of text whose shingles are numbered together.
+TOGETHER = 1 << 22
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -65,39 +70,46 @@ class Shingler:
         self.hasher = Hasher(space_table(), True)
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of all rows, sorted within each, and where each row's begin (one more entry than rows)."""
+        """Two lanes of hashes of the distinct shingles of all rows, sorted within each, and where each row's begin (one more entry than rows)."""
         words, first = self.hasher.words(data, offsets)
         rows = len(offsets) - 1
         grams, row = ngrams(words, SHINGLE), rows_of(first)
-        inside = np.flatnonzero(row[: len(grams)] == row[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
+        inside = np.flatnonzero(row[: grams.shape[1]] == row[SHINGLE - 1 :]) if grams.shape[1] else np.zeros(0, np.int64)
         count = np.diff(first)
-        short = np.flatnonzero((count > 0) & (count < SHINGLE))
-        whole = []
-        for r in short.tolist():
-            whole.append(ngrams(words[first[r] : first[r + 1]], int(count[r]))[0] ^ np.uint64(int(count[r]) * 0xA24BAED4963EE407 % (1 << 64)))
-        h = np.concatenate([grams[inside], np.array(whole, np.uint64)])
-        r = np.concatenate([row[inside], short])
-        order = np.lexsort((h, r))
-        h, r = h[order], r[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        h, r = h[new], r[new]
+        parts, owners = [grams[:, inside]], [row[inside]]
+        for k in range(1, SHINGLE):  # texts of fewer words
+            short = np.flatnonzero(count == k)
+            if len(short):
+                parts.append(ngrams(words, k)[:, first[short]] ^ np.uint64(k * 0xA24BAED4963EE407 % (1 << 64)))
+                owners.append(short)
+        h, r = np.concatenate(parts, axis=1), np.concatenate(owners)
+        order = np.lexsort((h[0], r))
+        h, r = h[:, order], r[order]
+        same = (h[0, 1:] == h[0, :-1]) & (r[1:] == r[:-1])
+        if (same & (h[1, 1:] != h[1, :-1])).any():  # one lane does not tell them apart
+            order = np.lexsort((h[1], h[0], r))
+            h, r = h[:, order], r[order]
+            same = (h[0, 1:] == h[0, :-1]) & (r[1:] == r[:-1])
+        new = np.ones(len(r), bool)
+        new[1:] = ~same | (h[1, 1:] != h[1, :-1])
+        h, r = h[:, new], r[new]
         return h, np.searchsorted(r, np.arange(rows + 1))
 
-    def of(self, raw: bytes) -> np.ndarray:
-        data = np.frombuffer(raw, np.uint8)
-        return self.sets(data, np.array([0, len(data)]))[0]
-
 
 def fingerprints(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each set."""
+    """Two 64-bit fingerprints of each set, one of each lane."""
     out = []
-    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+    for lane, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[lane] ^ np.uint64(salt)), dtype=np.uint64)])
         out.append(total[start[1:]] - total[start[:-1]])
     return out[0], out[1]
 
 
+def class_of(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+    """One number of both fingerprints; it tells the sets of one region or one flush apart, not those of a corpus."""
+    return f1 ^ mix(f2)
+
+
 def profiles(rows: DataFrame, bits: int) -> DataFrame:
     """(id, n, f1, f2, common): size and fingerprints of every document's set; with ``common``, region names (id) of shingles that are common in a task's share of documents, and in how many (n)."""
 
@@ -125,8 +137,8 @@ def profiles(rows: DataFrame, bits: int) -> DataFrame:
                 h, start = shingler.sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 n = np.diff(start)
                 parts.append((n, *fingerprints(h, start)))
-                held.append((h, np.repeat(parts[-1][1], n)))
-                count += len(h)
+                held.append((h[0], np.repeat(class_of(*parts[-1][1:]), n)))
+                count += h.shape[1]
                 if count >= FLUSH:
                     yield flush()
                     held, count = [], 0
@@ -207,7 +219,7 @@ def replicate(rows: DataFrame, bits: int, late, only=None) -> DataFrame:
             for i, j in chunks(bounds):
                 h, start = shingler.sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 n = np.diff(start)
-                classes, _ = fingerprints(h, start)
+                classes, h = class_of(*fingerprints(h, start)), h[0]
                 row = np.repeat(np.arange(j - i), n)
                 if len(last) and len(h):
                     name = pivot_of(h, bits)
@@ -284,29 +296,38 @@ def packed_texts(rows: DataFrame, marked) -> DataFrame:
     return map_arrow(rows, run, "id long, packed binary")
 
 
-def measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total): sizes of intersection and union of the sets of each pair."""
+def exact_sets(raws: list[bytes]) -> list[np.ndarray]:
+    """Sorted numbers of the shingles of each text; equal numbers stand for equal words."""
+    return exact_grams(Hasher(space_table(), True), raws, SHINGLE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, opener = Shingler(), zstandard.ZstdDecompressor()
-        held: dict[bytes, np.ndarray] = {}
 
-        def of(packed: bytes) -> np.ndarray:
-            got = held.get(packed)
-            if got is None:
-                if len(held) >= 256:
-                    held.clear()
-                got = held[packed] = shingler.of(opener.decompress(packed))
-            return got
+def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
 
+def measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total): sizes of intersection and union of the sets of each pair, by their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            shared, total = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = of(x), of(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(both)
-                total.append(len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out, at = [], 0
+            while at < len(left):
+                number: dict[bytes, int] = {}
+                raws, size, stop = [], 0, at
+                while stop < len(left) and (size < TOGETHER or stop == at):
+                    for packed in (left[stop], right[stop]):
+                        if packed not in number:
+                            number[packed] = len(raws)
+                            raws.append(opener.decompress(packed))
+                            size += len(raws[-1])
+                    stop += 1
+                sets = exact_sets(raws)
+                out += [overlap(sets[number[x]], sets[number[y]]) for x, y in zip(left[at:stop], right[at:stop], strict=True)]
+                at = stop
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1))], ["a", "b", "shared", "total"])
 
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb")
@@ -317,109 +338,129 @@ def linked(measured: DataFrame) -> DataFrame:
     return measured.where((100 * F.col("shared") >= LEAST * F.col("total")) & (F.col("total") > 0)).select("a", "b").distinct()
 
 
-def join_block(table: pa.Table) -> pa.Table:
-    """Links that connect what is linked in one block of near copies (block, id, packed)."""
-    shingler, opener = Shingler(), zstandard.ZstdDecompressor()
-    ids = table["id"].to_numpy()
-    sets = [shingler.of(opener.decompress(x)) for x in table["packed"].to_pylist()]
+def parts_of(count, shingles):
+    """So many parts have about ``PART`` documents and ``BLOCK`` shingles at most."""
+    return F.greatest(F.ceil(count / PART), F.ceil(shingles / max(BLOCK, 1 << 12)), F.lit(1)).cast("int")
+
+
+def measure_group(table: pa.Table) -> pa.Table:
+    """Distances of documents to one pivot."""
+    opener = zstandard.ZstdDecompressor()
+    pivot, ids, packed = table["pivot"][0].as_py(), table["id"].to_pylist(), table["packed"].to_pylist()
+    own = [opener.decompress(x) for i, x in zip(ids, packed, strict=True) if i is None]
+    others = [(i, x) for i, x in zip(ids, packed, strict=True) if i is not None]
+    out, at = [], 0
+    while at < len(others):
+        raws, size, stop = [own[0]], 0, at
+        while stop < len(others) and (size < TOGETHER or stop == at):
+            raws.append(opener.decompress(others[stop][1]))
+            size += len(raws[-1])
+            stop += 1
+        sets = exact_sets(raws)
+        out += [(pivot, others[at + k][0], *overlap(sets[0], x)) for k, x in enumerate(sets[1:])]
+        at = stop
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "shared", "total"])
+
+
+def measure_to_pivots(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total) of (pivot, id, n): a pivot with many documents is measured in many tasks."""
+    load = met.groupBy("pivot").agg(parts_of(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    dealt = met.join(load, "pivot").select("pivot", F.pmod(F.xxhash64(F.lit("measure"), F.col("id")), F.col("parts")).cast("int").alias("part"), "id").join(texts, "id").select("pivot", "part", "id", "packed")
+    each = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pivots = each.join(texts.select(F.col("id").alias("pivot"), "packed"), "pivot").select("pivot", "part", F.lit(None).cast("long").alias("id"), "packed")
+    return dealt.unionByName(pivots).groupBy("pivot", "part").applyInArrow(measure_group, "a long, b long, shared long, total long")
+
+
+def renamed(frame: DataFrame, changes: DataFrame, column: str) -> DataFrame:
+    """``frame`` with components replaced by what they have become part of."""
+    return frame.join(changes.select(F.col("id").alias(column), F.col("component").alias("becomes")), column, "left").withColumn(column, F.coalesce("becomes", column)).drop("becomes")
+
+
+def merged(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, component) of components that links between documents (region, id, n, component) connect with others."""
+    names = placed.select("id", "component").distinct()
+    ends = links.join(names.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    return components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+
+
+def join_cell(table: pa.Table) -> pa.Table:
+    """Links that connect documents (id, component, packed) of two parts of a cell, by their words; none within a component."""
+    opener = zstandard.ZstdDecompressor()
+    once = {i: (c, x) for i, c, x in zip(table["id"].to_pylist(), table["component"].to_pylist(), table["packed"].to_pylist(), strict=True)}
+    ids = list(once)
+    sets = exact_sets([opener.decompress(once[i][1]) for i in ids])
+    label = np.unique(np.array([once[i][0] for i in ids]), return_inverse=True)[1]
     size = np.array([len(x) for x in sets])
     m = len(sets)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), size)[np.argsort(dense, kind="stable")]
-    first = np.concatenate([[0], np.cumsum(np.bincount(dense))])
-    mine = np.split(dense, np.cumsum(size)[:-1])
-
-    def shared(x: int) -> np.ndarray:
-        """Size of the intersection of one set with each."""
-        s = mine[x]
+    flat = np.concatenate(sets) if m else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(m), size)[np.argsort(flat, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(flat))])
+    links = []
+    main = np.bincount(label).argmax() if m else 0
+    for x in np.flatnonzero(label != main).tolist():
+        if not size[x]:
+            continue
+        s = sets[x]
         length = first[s + 1] - first[s]
         ends = np.cumsum(length)
-        at = np.arange(ends[-1]) + np.repeat(first[s] - ends + length, length)
-        return np.bincount(owner[at], minlength=m)
-
-    free = size > 0
-    distances = np.zeros((0, m))
-    links = []
-    for start in range(m):
-        queue = [start] if free[start] else []
-        free[start] = False
-        while queue:
-            x = queue.pop()
-            near = free & (100 * np.minimum(size, size[x]) >= LEAST * np.maximum(size, size[x]))
-            if len(distances):  # a margin for rounding, on the safe side
-                near &= (np.abs(distances - distances[:, x : x + 1]) <= (100 - LEAST) / 100 + 1e-9).all(axis=0)
-            if len(distances) == PIVOTS and not near.any():
-                continue
-            both = shared(x)
-            union = size + size[x] - both
-            if len(distances) < PIVOTS:
-                distances = np.concatenate([distances, (1 - both / np.maximum(union, 1))[None]])
-            for y in np.flatnonzero(near & (100 * both >= LEAST * union)).tolist():
-                free[y] = False
-                queue.append(y)
-                links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
-    links = [p for p in links if p[0] != p[1]]
+        both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(first[s] - ends + length, length)], minlength=m)
+        near = np.flatnonzero((label != label[x]) & (100 * both >= LEAST * (size + size[x] - both)))
+        for y in near.tolist():
+            if label[y] != label[x]:  # not yet connected by a link of this task
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                label[label == label[y]] = label[x]
     return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def join_blocks(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links needed to connect what is linked within crowded regions (region, id, n), and those given."""
+def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """What components of ``labels`` become by links within crowded regions (region, id, n), one change after another."""
+    changes: list[DataFrame] = []
     if crowded.limit(1).count() == 0:
-        return links
-    hubs = crowded.groupBy("region").agg(F.min("id").alias("hub"))
-    edges = crowded.join(hubs, "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    named = components(edges).withColumnRenamed("component", "block")
-    members = cut(crowded.select("id", "n").distinct().join(named, "id"), "members")
-    sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
-    small = members.join(sizes.where(F.col("total") <= BLOCK).select("block"), "block").select("block", "id").distinct()
-    found = small.join(texts, "id").groupBy("block").applyInArrow(join_block, "a long, b long")
-    links = cut(links.unionByName(found).distinct(), "links")
-    large = cut(members.join(sizes.where(F.col("total") > BLOCK).select("block"), "block").select("id").distinct(), "large")
-    if large.limit(1).count() == 0:
-        return links
-    return join_crowded(cut(crowded.join(large, "id").select("region", "id", "n"), "regions"), links, texts)
-
-
-def join_crowded(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links needed to connect what is linked within regions (region, id, n), given those found elsewhere.
-
-    In each round a region's pivots are a few documents of its largest component and some of the rest, or all of
-    the rest where it is small. They are measured against every document of the region in another component and then leave it.
-    """
-    left = crowded
-    distances = None
-    while True:
-        labels = components(links)
-        placed = left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
-        shape = sizes.groupBy("region").agg(F.max_by("component", "size").alias("main"), (F.sum("size") - F.max("size")).alias("rest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        mixed = cut(placed.join(shape.drop("kinds"), "region"), "regions")
-        if mixed.limit(1).count() == 0:
-            return links
-        side = (F.col("component") == F.col("main")).alias("is_main")
-        place = Window.partitionBy("region", "is_main").orderBy("id")
-        ranked = mixed.withColumn("is_main", side).withColumn("place", F.row_number().over(place)).where("place <= 16")
-        chosen = ranked.where((~F.col("is_main")) | ((F.col("rest") > 16) & (F.col("place") <= 4)))
-        pivots = cut(chosen.select("region", F.col("id").alias("p"), F.col("n").alias("np"), F.col("component").alias("pc")), "pivots")
-        met = mixed.join(pivots, "region").where((F.col("component") != F.col("pc")) & (100 * F.least("n", "np") >= LEAST * F.greatest("n", "np")))
-        pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if distances is not None:
-            pairs = windows(pairs, distances)
-        measured = cut(measure(pairs, texts), "measured")
-        distances = measured if distances is None else distances.unionByName(measured)
-        links = cut(links.unionByName(linked(measured)).distinct(), "links")
-        left = cut(mixed.select("region", "id", "n").join(pivots.select("region", F.col("p").alias("id")), ["region", "id"], "left_anti"), "regions")
-
-
-def windows(pairs: DataFrame, distances: DataFrame) -> DataFrame:
-    """Pairs less those measured before, and those whose distances to a pivot measured with both differ by more than the radius."""
-    d = 1 - F.col("shared") / F.col("total")
-    once = distances.select("a", "b", d.alias("d"))
-    both = once.select(F.col("a").alias("p"), F.col("b").alias("x"), "d").unionByName(once.select(F.col("b").alias("p"), F.col("a").alias("x"), "d"))
-    far = pairs.join(both.select(F.col("x").alias("a"), "p", F.col("d").alias("da")), "a").join(both.select(F.col("x").alias("b"), "p", F.col("d").alias("db")), ["b", "p"])
+        return changes
+    placed = cut(crowded.join(labels, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("component")), "regions")
+    for number in range(ROUNDS + 1):
+        kinds = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(number), F.col("id")), "id")).alias("p"))
+        mixed = kinds.groupBy("region").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("region")
+        kinds = cut(kinds.join(mixed, "region").select("region", "component", "size", F.col("p.id").alias("pivot")), "kinds")
+        if kinds.limit(1).count() == 0:
+            break
+        placed = placed.join(kinds.select("region").distinct(), "region", "left_semi")
+        if number == ROUNDS:
+            changes.append(merged(join_cells(placed, distances, nearest, texts), placed))
+            break
+        largest = Window.partitionBy("region").orderBy(F.col("size").desc(), F.xxhash64("component"), "component")
+        nearest = cut(kinds.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= PIVOTS).select("region", "pivot"), "pivots")
+        met = placed.join(nearest, "region").select("pivot", "id", "n").distinct()
+        distances = cut(measure_to_pivots(met, texts), "distances")
+        change = merged(linked(distances).where("a <> b"), placed)
+        changes.append(change)
+        placed = cut(renamed(placed, change, "component").select("region", "id", "n", "component"), "regions")
+    return changes
+
+
+def join_cells(placed: DataFrame, distances: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect components within regions (region, id, n, component), given distances to the pivots (region, pivot)."""
+    radius = (100 - LEAST) / 100
+    far = distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / F.greatest("total", F.lit(1))).alias("d"))
+    at = placed.join(pivots, "region").join(far, ["pivot", "id"])
+    nearest = at.groupBy("region", "id").agg(F.min("d").alias("least"))
     # a margin for rounding, on the safe side
-    far = far.where(F.abs(F.col("da") - F.col("db")) > (100 - LEAST) / 100 + 1e-9).select("a", "b").distinct()
-    return pairs.join(far, ["a", "b"], "left_anti").join(once.select("a", "b"), ["a", "b"], "left_anti")
+    inside = at.join(nearest, ["region", "id"]).where(F.col("d") <= F.col("least") + 2 * radius + 1e-9)
+    cells = cut(inside.select("pivot", "id", "n", "component").distinct(), "cells")
+    kinds = cells.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    main = kinds.groupBy("pivot").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    sided = cells.join(main.select("pivot", F.col("m.component").alias("main")), "pivot").withColumn("rest", F.col("component") != F.col("main"))
+    load = sided.groupBy("pivot").agg(
+        parts_of(F.count(F.when(F.col("rest"), 1)), F.coalesce(F.sum(F.when(F.col("rest"), F.col("n"))), F.lit(0))).alias("rests"),
+        parts_of(F.count(F.when(~F.col("rest"), 1)), F.coalesce(F.sum(F.when(~F.col("rest"), F.col("n"))), F.lit(0))).alias("mains"),
+    )
+    # parts 0 .. rests - 1 are of the rest, those after of the main component; tasks are pairs of parts of which one is of the rest
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("mains")))
+    dealt = sided.join(load, "pivot").withColumn("own", own.cast("int"))
+    with_part = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
+    tasks = dealt.select("pivot", "id", "component", "own", F.explode(with_part).alias("other"))
+    tasks = tasks.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
+    return cut(tasks.join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,7 +492,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
     bridges = named.join(repeated, "id").join(classes, ["f1", "f2", "n"]).where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
     links = cut(links.unionByName(bridges).distinct(), "links")
-    labels = components(join_blocks(crowded, links, texts))
+    labels = components(links)
+    changes = join_crowded(crowded, labels, texts)
     own = sets.join(classes.withColumnRenamed("least", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    joined = own.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    joined = own.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    for change in changes:
+        joined = renamed(joined, change, "component")
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))

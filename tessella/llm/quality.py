@@ -74,7 +74,7 @@ class Encoder:
         out[:, CLASSES : CLASSES + CLASSES**2] = np.sqrt(np.bincount(pair, minlength=n * CLASSES**2).reshape(n, -1) / size)
         starts, ends, _ = self.hasher.bounds(data, bounds)
         if len(starts):
-            words, _ = self.hasher.words(data, bounds)
+            _, words, _ = self.hasher.numbers(data, bounds)
             mine = owner[starts]
             count = np.maximum(1, np.bincount(mine, minlength=n)).astype(np.float32)
             length = (ends - starts).astype(np.float32)

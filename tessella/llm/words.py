@@ -1,4 +1,9 @@
-"""Vectorised word tables over batches of UTF-8 text: boundaries, 64-bit word hashes, n-gram hashes."""
+"""Vectorised word tables over batches of UTF-8 text: boundaries, 128-bit word hashes, n-gram hashes, exact n-gram numbers.
+
+Words are told apart by their bytes (a dictionary of each piece of text) and hashed one by one with XXH3-128, so that no
+structure of their letters carries over to the hash. Hashes come as two lanes of 64 bits. Long rows are worked through in pieces cut at separators, so
+that the working memory does not grow with a row beyond its hashes.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+#: Words whose n-grams are taken at once, so that the steps stay in a core's cache.
+GRAM_BLOCK = 1 << 15
 _U = np.uint64
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
+_WORD_SEED = 0x7E55E11A
+#: Odd multipliers of the two lanes.
+_LANES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
 def space_table() -> np.ndarray:
@@ -35,11 +44,6 @@ def fold_table() -> np.ndarray:
     return table
 
 
-def byte_keys() -> np.ndarray:
-    """A fixed random 64-bit key for each byte value."""
-    return np.random.Generator(np.random.PCG64(20240131)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -67,25 +71,26 @@ def chunks(bounds: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = stop
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two lanes of 64 bits for each word: its XXH3-128."""
+    raw = b"".join([xxhash.xxh3_128_digest(w, _WORD_SEED) for w in words])
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint64).reshape(-1, 2).T)
+
+
 class Hasher:
-    """Word boundaries and hashes; holds the powers of the polynomial, grown to the longest chunk seen."""
+    """Word boundaries, word numbers and word hashes of texts with the given separators, lower-cased with ``fold``."""
 
     def __init__(self, separators: np.ndarray, fold: bool):
         self.separators = separators
         self.fold = fold_table() if fold else None
-        self.keys = byte_keys()[self.fold] if fold else byte_keys()
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, CHUNK_BYTES + (1 << 16))
-            up, down = np.full(n, _ODD, np.uint64), np.full(n, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
     def bounds(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every word, and the number of the first word of each row (one more entry than rows)."""
-        word = ~self.separators[self.fold[data] if self.fold is not None else data]
+        starts, ends, first, _ = self._bounds(data, offsets)
+        return starts, ends, first
+
+    def _bounds(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        word = ~self.separators[data]
         edge = np.empty(len(data) + 1, bool)
         if len(data):
             edge[0], edge[-1] = word[0], word[-1]
@@ -100,27 +105,113 @@ class Hasher:
         if len(both):
             at = np.sort(np.concatenate([at, both, both]))
         starts, ends = at[0::2], at[1::2]
-        return starts, ends, np.searchsorted(starts, offsets)
+        return starts, ends, np.searchsorted(starts, offsets), word
+
+    def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different words, the number of each word among them, and the first word of each row."""
+        if self.fold is not None:
+            data = self.fold[data]
+        starts, ends, first, word = self._bounds(data, offsets)
+        ends_of = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=ends_of[1:])
+        letters = data[word]
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends_of), pa.py_buffer(letters)])
+        known = column.dictionary_encode()
+        _, bounds, letters = known.dictionary.buffers()
+        raw = letters.to_pybytes() if letters else b""
+        at = np.frombuffer(bounds, np.int64, len(known.dictionary) + 1).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], known.indices.to_numpy(zero_copy_only=False), first
+
+    def pieces(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of about ``CHUNK_BYTES`` of one text that end at separators."""
+        at = 0
+        while at < len(data):
+            stop = min(len(data), at + CHUNK_BYTES)
+            while stop < len(data):
+                gap = np.flatnonzero(self.separators[data[stop : stop + CHUNK_BYTES]])
+                if len(gap):
+                    stop += int(gap[0])
+                    break
+                stop = min(len(data), stop + CHUNK_BYTES)
+            yield at, stop
+            at = stop
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word, and the number of the first word of each row."""
-        starts, ends, first = self.bounds(data, offsets)
-        self._powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.keys[data] * self.up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)), first
+        """Two lanes of hashes of every word, and the number of the first word of each row."""
+        if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+            lanes = np.concatenate([self._lanes(data[a:b], np.array([0, b - a]))[0] for a, b in self.pieces(data)], axis=1)
+            return lanes, np.array([0, lanes.shape[1]])
+        return self._lanes(data, offsets)
+
+    def _lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, number, first = self.numbers(data, offsets)
+        return word_hashes(known)[:, number], first
+
+
+def _joined(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
+    """The hash of two runs of words that follow one another; what is mixed in between keeps sums from cancelling."""
+    out = np.empty_like(left)
+    for lane, odd in enumerate(_LANES):
+        out[lane] = mix(left[lane] * odd + (right[lane] ^ _U(level * 0xA24BAED4963EE407 % (1 << 64))))
+    return out
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive words, rows disregarded."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:m].copy()
-    for k in range(1, n):
-        out *= _U(0xD6E8FEB86659FD93)
-        out += words[k : k + m]
-    return mix(out)
+    """Two lanes of hashes of every run of ``n`` consecutive words, rows disregarded; runs of powers of two are hashed once and joined."""
+    m = max(0, words.shape[1] - n + 1)
+    out = np.empty((2, m), np.uint64)
+    for at in range(0, m, GRAM_BLOCK):
+        size = min(GRAM_BLOCK, m - at)
+        run, length, done, covered = words[:, at : at + size + n - 1], 1, None, 0
+        parts = {1: run}
+        while 2 * length <= n:
+            run = _joined(run[:, : run.shape[1] - length], run[:, length:], 2 * length)
+            length *= 2
+            parts[length] = run
+        for length in sorted(parts, reverse=True):
+            if n & length:
+                piece = parts[length][:, covered : covered + size]
+                done = piece if done is None else _joined(done, piece, n + length)
+                covered += length
+        out[:, at : at + size] = done if n > 1 else mix(done)
+    return out
+
+
+def exact_grams(hasher: Hasher, raws: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the sorted numbers of its different runs of ``n`` words, the same number for the same words and no other.
+
+    A text of fewer words, but not none, has one run, the whole. Numbers are given by comparing words and then pairs of numbers: nothing is hashed.
+    """
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+    known, number, first = hasher.numbers(data, offsets)
+    count = np.diff(first)
+    # a word that stands for none fills texts of fewer words up to n
+    fill = len(known)
+    size = np.where(count > 0, np.maximum(count, n), 0)
+    start = np.concatenate([[0], np.cumsum(size)])
+    padded = np.full(int(start[-1]), fill, np.int64)
+    row = np.repeat(np.arange(len(raws)), count)
+    padded[start[row] + np.arange(len(number)) - first[row]] = number
+    grams, width, parts, length = padded, fill + 1, {1: (padded, fill + 1)}, 1
+
+    def joined(left: np.ndarray, right: np.ndarray, right_width: int) -> tuple[np.ndarray, int]:
+        unique, inverse = np.unique(left * right_width + right, return_inverse=True)
+        return inverse, len(unique)
+
+    while 2 * length <= n:
+        grams, width = joined(grams[: max(0, len(grams) - length)], grams[length:], width)
+        length *= 2
+        parts[length] = (grams, width)
+    done, covered = None, 0
+    m = max(0, len(padded) - n + 1)
+    for length in sorted(parts, reverse=True):
+        if n & length:
+            piece, width = parts[length]
+            piece = piece[covered : covered + m]
+            done = piece if done is None else joined(done, piece, width)[0]
+            covered += length
+    return [np.unique(done[start[i] : max(start[i], start[i + 1] - n + 1)]) for i in range(len(raws))]
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:
