@@ -21,6 +21,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever letters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, in either case, and that none begins with."""
+    taken, stem = [c.lower() for c in df.columns], "t_"
+    while any(c.startswith(stem) for c in taken):
+        stem += "x_"
+    return [f"{stem}{k}_" for k in range(n)]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each Spark context."""
     context = spark.sparkContext
@@ -101,10 +114,17 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped first."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with the package shipped first, for columns of any name: Spark resolves them as identifiers there."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+    if all(c.replace("_", "a").isalnum() for c in names):
+        return df.mapInArrow(fn, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
 
 
 def learnable(doc_id: str = "doc_id"):

@@ -114,10 +114,11 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
 OP8_SQL = r"""
-WITH RECURSIVE sized AS (
-  SELECT row_number() OVER () AS rid, doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) AS u
-  FROM documents),
+WITH RECURSIVE counted AS (
+  SELECT row_number() OVER () AS rid, doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sized AS (
+  SELECT *, CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(id AS VARCHAR), CAST(size AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM counted),
 per AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM per),
@@ -132,40 +133,53 @@ wholes AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END + CAST(1e-12 AS DOUBLE)) AS BIGINT) AS whole,
          greatest(1, CAST(ceil(CAST(n_docs AS DOUBLE) / 1000) AS BIGINT)) AS buckets
   FROM filled),
-goals AS (SELECT *, greatest(target - CAST(whole * source_size AS DOUBLE), CAST(0 AS DOUBLE)) AS need FROM wholes),
+needs AS (SELECT *, greatest(target - CAST(whole * source_size AS DOUBLE), CAST(0 AS DOUBLE)) AS need FROM wholes),
+shares AS (SELECT *, CASE WHEN source_size > 0 THEN need / CAST(source_size AS DOUBLE) ELSE 0 END AS p FROM needs),
+goals AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN p / (1 - p) ELSE CAST(1 AS DOUBLE) END AS odds FROM shares),
 placed AS (
-  SELECT rid, id, s.source, size, u, source_size, target, whole, need, CAST(floor(u * buckets) AS BIGINT) AS bucket
+  SELECT rid, id, s.source, size, u / (1 - u) / odds AS q, source_size, target, whole, need, CAST(floor(u * buckets) AS BIGINT) AS bucket
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 sums AS (SELECT source, bucket, CAST(sum(size) AS DOUBLE) AS words, any_value(need) AS need FROM placed GROUP BY source, bucket),
 reached AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM sums),
 edges AS (
   SELECT source, bucket AS edge, need, need - upto + words AS room
   FROM reached WHERE upto >= need QUALIFY row_number() OVER (PARTITION BY source ORDER BY bucket) = 1),
-line AS (
-  SELECT e.source, id, size, e.need, room, row_number() OVER (PARTITION BY e.source ORDER BY u, id, size) - 1 AS pos, count(*) OVER (PARTITION BY e.source) AS n
-  FROM placed p JOIN edges e ON p.source IS NOT DISTINCT FROM e.source AND p.bucket = e.edge),
-draws AS (SELECT *, (pos - (k * n) // 8 + n) % n AS step FROM line, range(0, 8) AS t(k)),
+entries AS (
+  SELECT e.source, id, size, q, any_value(e.need) AS need, any_value(room) AS room, count(*) AS n
+  FROM placed p JOIN edges e ON p.source IS NOT DISTINCT FROM e.source AND p.bucket = e.edge GROUP BY e.source, id, size, q),
+line AS (SELECT *, sum(size * n) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY source ORDER BY q, id, size) AS pos FROM entries),
+stops AS (SELECT source, pos AS stop FROM line WHERE cum > room QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos) = 1),
+tries AS (SELECT l.source, l.id, l.size, l.need, l.room, n, cum, pos, stop, k, greatest(stop - 1 - k // 8, 0) AS kept, max(pos) OVER (PARTITION BY l.source) AS most
+          FROM line l JOIN stops s ON l.source IS NOT DISTINCT FROM s.source, range(0, 64) AS t(k)),
+draws AS (
+  SELECT source, id, size, need, n AS still, k, room - max(CASE WHEN pos = kept THEN cum ELSE 0 END) OVER (PARTITION BY source, k) AS room, pos > kept AS used,
+         (CASE WHEN pos >= stop THEN pos - stop ELSE most - stop + pos - kept END - ((k % 8) * (most - kept)) // 8 + most - kept) % greatest(most - kept, 1) AS step
+  FROM tries),
 walk AS (
-  SELECT source, k, CAST(-1 AS BIGINT) AS step, any_value(room) AS room, any_value(need) AS need, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS over_size, CAST(NULL AS BIGINT) AS over_id
-  FROM draws GROUP BY source, k
+  SELECT source, k, CAST(-1 AS BIGINT) AS step, any_value(room) AS room, any_value(need) AS need, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS taken_size, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS over_size, CAST(NULL AS BIGINT) AS over_id
+  FROM draws WHERE used GROUP BY source, k
   UNION ALL
-  SELECT w.source, w.k, d.step, CASE WHEN d.size <= w.room THEN w.room - d.size ELSE w.room END, w.need, CASE WHEN d.size <= w.room AND d.size > 0 THEN d.id END,
-         CASE WHEN d.size <= w.room OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_size ELSE d.size END,
-         CASE WHEN d.size <= w.room OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_id ELSE d.id END
-  FROM walk w JOIN draws d ON w.source IS NOT DISTINCT FROM d.source AND w.k = d.k AND d.step = w.step + 1),
+  SELECT w.source, w.k, d.step, w.room - d.size * f.m, w.need, d.id, d.size, f.m,
+         CASE WHEN d.size = 0 OR f.m = d.still OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_size ELSE d.size END,
+         CASE WHEN d.size = 0 OR f.m = d.still OR (w.over_size, w.over_id) < (d.size, d.id) THEN w.over_id ELSE d.id END
+  FROM walk w JOIN draws d ON w.source IS NOT DISTINCT FROM d.source AND w.k = d.k AND d.used AND d.step = w.step + 1,
+       LATERAL (SELECT CASE WHEN d.size > 0 THEN least(d.still, CAST(floor(w.room / d.size) AS BIGINT)) ELSE 0 END AS m) f),
 ends AS (
   SELECT source, k, need, room, over_size, over_id, coalesce(over_size < 2 * room, false) AS nearer
   FROM walk QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY step DESC) = 1),
 best AS (
-  SELECT * FROM ends
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY floor(CASE WHEN nearer THEN over_size - room ELSE room END / greatest(CAST(1 AS DOUBLE), CAST(0.002 AS DOUBLE) * need)), k) = 1),
-chosen AS (
-  SELECT w.source, w.taken AS id FROM walk w JOIN best b ON w.source IS NOT DISTINCT FROM b.source AND w.k = b.k WHERE w.taken IS NOT NULL
-  UNION SELECT source, over_id FROM best WHERE nearer)
-SELECT p.id AS doc_id, size, source_size, target, p.source AS source,
-       CAST(size * (whole + CASE WHEN bucket < edge THEN 1
-                                 WHEN bucket = edge AND EXISTS (SELECT 1 FROM chosen c WHERE c.source IS NOT DISTINCT FROM p.source AND c.id = p.id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed p LEFT JOIN edges e ON p.source IS NOT DISTINCT FROM e.source
+  SELECT e.*, greatest(stop - 1 - k // 8, 0) AS kept FROM ends e JOIN stops s ON e.source IS NOT DISTINCT FROM s.source
+  QUALIFY row_number() OVER (PARTITION BY e.source ORDER BY floor(CASE WHEN nearer THEN over_size - room ELSE room END / greatest(CAST(1 AS DOUBLE), CAST(0.002 AS DOUBLE) * need)), k) = 1),
+picks AS (
+  SELECT l.source, id, size, n AS m FROM line l LEFT JOIN best b ON l.source IS NOT DISTINCT FROM b.source WHERE kept IS NULL OR pos <= kept
+  UNION ALL SELECT w.source, w.taken, w.taken_size, w.m FROM walk w JOIN best b ON w.source IS NOT DISTINCT FROM b.source AND w.k = b.k WHERE w.m > 0
+  UNION ALL SELECT source, over_id, over_size, 1 FROM best WHERE nearer),
+chosen AS (SELECT source, id, size, sum(m) AS m FROM picks GROUP BY source, id, size),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, id, size ORDER BY rid) AS nth FROM placed)
+SELECT p.id AS doc_id, p.size, source_size, target, p.source AS source,
+       CAST(p.size * (whole + CASE WHEN bucket < edge THEN 1 WHEN bucket = edge AND nth <= coalesce(c.m, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM numbered p LEFT JOIN edges e ON p.source IS NOT DISTINCT FROM e.source
+LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM p.source AND c.id IS NOT DISTINCT FROM p.id AND c.size = p.size
 """
 
 OP9_SQL = r"""

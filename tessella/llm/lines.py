@@ -13,7 +13,8 @@ Chunks that share a digest are compared by their bytes, through grouping by the
 whose digest occurs in two documents take part, flagged by a bitmap of fixed size in the scan. Groups are pre-aggregated.
 
 Defined cases: null texts stay null and empty ones empty, with no line; texts of one line have no chunk and
-are kept; no single line is removed; rows that repeat the smallest id keep their chunks, all of them; rows without an id are only
+are kept; no single line is removed; very long texts are held whole in memory, one at a time, with a digest for each chunk; of chunks that stand in several
+documents that of the smallest id stays; an empty table gives an empty result; rows that repeat the smallest id keep their chunks, all of them; rows without an id are only
 deduplicated within themselves; other columns are kept as they are.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.blobs import flag_slots, flags
-from tessella.llm.common import cut, map_arrow
+from tessella.llm.common import cut, free_names, map_arrow, quoted
 from tessella.llm.flagging import flag_parts
 
 MOST = 16
@@ -133,7 +134,7 @@ def _bytes(rows: DataFrame, marked, every: bool) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(id, gone): for each document, the digests of its chunks that a document of smaller id holds too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).where("id is not null")
     held = cut(_digests(rows, every), "line-chunks")
     shared = held.groupBy("digest", "slot").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     marked = flag_parts(shared.select("slot"), docs.sparkSession.sparkContext)
@@ -144,11 +145,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     return held.join(sure, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("gone"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, every: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text; with ``stats`` (id, n_lines, n_removed, kept) instead."""
-    gone = removals(docs, id_col, text_col, every).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, every: bool = False, counts: tuple[str, str] = ("__lines", "__removed")) -> DataFrame:
+    """``docs`` with repeated chunks taken out of the text, and two further columns of ``counts``, lines and removed lines; with ``stats`` (id, n_lines, n_removed, kept) instead."""
+    ident, gone = free_names(docs, 2)
+    found = removals(docs, id_col, text_col, every).select(F.col("id").alias(ident), F.col("gone").alias(gone))
     if stats:
-        docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+        docs = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).cast("string").alias(text_col))
     place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +158,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = [strip(t.as_py(), set(g.as_py() or ()), every) for t, g in zip(batch.column(place), batch.column(len(names)), strict=True)]
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array([x[0] for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [*names, "__lines", "__removed"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [*names, *counts])
 
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").select(*(docs[c] for c in names), "__gone")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
+    joined = docs.join(found, F.col(quoted(id_col)).cast("long") == F.col(ident), "left").select(*map(quoted, names), gone)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     done = map_arrow(joined, run, schema)
     if stats:
-        return done.select(id_col, F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col(text_col).alias("kept"))
+        return done.select(F.col(quoted(id_col)), F.col(counts[0]).alias("n_lines"), F.col(counts[1]).alias("n_removed"), F.col(quoted(text_col)).alias("kept"))
     return done
