@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard, lines, mixing, quality
-from tessella.llm.common import cut, read
+from tessella.llm.common import cut, free_names, quoted, read
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +24,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that an earlier document holds."""
-    done = lines.deduplicate(docs).where((F.col("__removed") < F.col("__lines")) | (F.col("__lines") == 0))
+    held, removed = free_names(docs, 4)[2:]
+    done = lines.deduplicate(docs, counts=(held, removed)).where((F.col(removed) < F.col(held)) | (F.col(held) == 0))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*map(quoted, docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are connected by near copies, the one of smallest id."""
     gone = jaccard.groups(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(cut(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(gone, "near-copies"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(cut(gone, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(gone, "contaminated"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
