@@ -10,9 +10,9 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
 2.  Documents, within regions of many. Common shingles come late in the order, so that what only shares a
     passage or a line does not meet: at first those that repeat within a task's share of documents, then those of crowded regions,
     whose documents are dealt out again. What is left are mostly near copies of one another, and what is known to be connected is not compared again.
-    In each of ``ROUNDS`` rounds the pivots of a region are a document of each of its ``PIVOTS`` largest components; the distances of all its documents to
-    them are measured, and what lies within the radius joins a pivot's component. Regions that then hold more than one component are
-    divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
+    In each of ``ROUNDS`` rounds a region has one pivot, each document is measured to one of its regions' pivots, and what lies within the radius joins
+    the pivot's component. In regions that then hold more than one component, the distances of all documents to a document of each of the ``PIVOTS`` largest
+    components are measured, and again those within the radius join. Regions that are still mixed are divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
     two radii further (triangle inequality). Regions that chose the same pivot share its cell. A cell is joined exactly in parts
     of bounded size, each part of documents outside the largest component with each part.
 
@@ -53,15 +53,15 @@ COMMON = 4
 #: Shingles that are counted together.
 FLUSH = 1 << 20
 #: Replicas gathered in a task before they are dealt out.
-DEAL = 1 << 19
+DEAL = 1 << 18
 #: Shingles and documents of a part of a cell, or of the documents that one task measures to a pivot.
 BLOCK = 1 << 19
 PART = 256
-#: Pivots of a region in a round, and rounds.
+#: Pivots of a region to which all its documents are measured, and rounds of one pivot before.
 PIVOTS = 4
-ROUNDS = 2
+ROUNDS = 1
 #: Bytes of text whose shingles are numbered together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -384,32 +384,44 @@ def merged(links: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def join_cell(table: pa.Table) -> pa.Table:
-    """Links that connect documents (id, component, packed) of two parts of a cell, by their words; none within a component."""
+    """Links that connect documents (cell, id, component, packed) of two parts of a cell, or within each of many small cells, by their words; none within a component."""
     opener = zstandard.ZstdDecompressor()
-    once = {i: (c, x) for i, c, x in zip(table["id"].to_pylist(), table["component"].to_pylist(), table["packed"].to_pylist(), strict=True)}
-    ids = list(once)
-    sets = exact_sets([opener.decompress(once[i][1]) for i in ids])
-    label = np.unique(np.array([once[i][0] for i in ids]), return_inverse=True)[1]
-    size = np.array([len(x) for x in sets])
-    m = len(sets)
-    flat = np.concatenate(sets) if m else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(m), size)[np.argsort(flat, kind="stable")]
-    first = np.concatenate([[0], np.cumsum(np.bincount(flat))])
-    links = []
-    main = np.bincount(label).argmax() if m else 0
-    for x in np.flatnonzero(label != main).tolist():
-        if not size[x]:
-            continue
-        s = sets[x]
-        length = first[s + 1] - first[s]
-        ends = np.cumsum(length)
-        both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(first[s] - ends + length, length)], minlength=m)
-        near = np.flatnonzero((label != label[x]) & (100 * both >= LEAST * (size + size[x] - both)))
-        for y in near.tolist():
-            if label[y] != label[x]:  # not yet connected by a link of this task
-                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                label[label == label[y]] = label[x]
-    return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    packed = dict(zip(table["id"].to_pylist(), table["packed"].to_pylist(), strict=True))
+    ids = np.array(sorted(packed))
+    every = exact_sets([opener.decompress(packed[i]) for i in ids.tolist()])
+    cells, where, names = table["cell"].to_numpy(), np.searchsorted(ids, table["id"].to_numpy()), table["component"].to_numpy()
+    order = np.lexsort((where, cells))
+    edges = split_sorted(cells[order])
+    links = set()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rows = order[a:b]
+        rows = rows[np.concatenate([[True], where[rows][1:] != where[rows][:-1]])]
+        sets, own = [every[k] for k in where[rows]], ids[where[rows]].tolist()
+        label = np.unique(names[rows], return_inverse=True)[1]
+        size = np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)[np.argsort(flat, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(known)))])
+        start = np.concatenate([[0], np.cumsum(size)])
+        for x in np.flatnonzero((label != np.bincount(label).argmax()) & (size > 0)).tolist():
+            s = flat[start[x] : start[x + 1]]
+            length = first[s + 1] - first[s]
+            ends = np.cumsum(length)
+            both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(first[s] - ends + length, length)], minlength=len(sets))
+            for y in np.flatnonzero((label != label[x]) & (100 * both >= LEAST * (size + size[x] - both))).tolist():
+                if label[y] != label[x]:  # not yet connected by a link of this cell
+                    links.add((min(own[x], own[y]), max(own[x], own[y])))
+                    label[label == label[y]] = label[x]
+    pairs = sorted(links)
+    return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def mixed_regions(placed: DataFrame, seed: int) -> DataFrame:
+    """(region, component, size, pivot, pivot_n) of regions with several components; the pivot is a document of the component, by a hash."""
+    first = F.min(F.struct(F.xxhash64(F.lit(seed), F.col("id")), "id", "n")).alias("p")
+    kinds = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), first)
+    several = kinds.groupBy("region").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("region")
+    return cut(kinds.join(several, "region").select("region", "component", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "kinds")
 
 
 def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> list[DataFrame]:
@@ -418,23 +430,35 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
     if crowded.limit(1).count() == 0:
         return changes
     placed = cut(crowded.join(labels, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("component")), "regions")
-    for number in range(ROUNDS + 1):
-        kinds = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(number), F.col("id")), "id")).alias("p"))
-        mixed = kinds.groupBy("region").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("region")
-        kinds = cut(kinds.join(mixed, "region").select("region", "component", "size", F.col("p.id").alias("pivot")), "kinds")
+
+    def change(links: DataFrame) -> None:
+        nonlocal placed
+        changes.append(merged(links, placed))
+        placed = cut(renamed(placed, changes[-1], "component").select("region", "id", "n", "component"), "regions")
+
+    by_hash = F.xxhash64(F.lit("pivot"), F.col("pivot"))
+    for number in range(ROUNDS):
+        kinds = mixed_regions(placed, number)
         if kinds.limit(1).count() == 0:
-            break
-        placed = placed.join(kinds.select("region").distinct(), "region", "left_semi")
-        if number == ROUNDS:
-            changes.append(merged(join_cells(placed, distances, nearest, texts), placed))
-            break
-        largest = Window.partitionBy("region").orderBy(F.col("size").desc(), F.xxhash64("component"), "component")
-        nearest = cut(kinds.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= PIVOTS).select("region", "pivot"), "pivots")
-        met = placed.join(nearest, "region").select("pivot", "id", "n").distinct()
-        distances = cut(measure_to_pivots(met, texts), "distances")
-        change = merged(linked(distances).where("a <> b"), placed)
-        changes.append(change)
-        placed = cut(renamed(placed, change, "component").select("region", "id", "n", "component"), "regions")
+            return changes
+        # one pivot a region, and of a document's regions the pivot that most of them are likely to share: its text travels once
+        one = kinds.groupBy("region").agg(F.min(F.struct(by_hash.alias("h"), "pivot", "pivot_n", F.col("component").alias("other"))).alias("p")).select("region", "p.*")
+        met = placed.join(one, "region").where((F.col("component") != F.col("other")) & (100 * F.least("n", "pivot_n") >= LEAST * F.greatest("n", "pivot_n")))
+        met = met.groupBy("id").agg(F.min(F.struct("h", "pivot")).alias("p"), F.first("n").alias("n")).select("p.pivot", "id", "n")
+        change(linked(cut(measure_to_pivots(cut(met, "met"), texts), "distances")))
+    kinds = mixed_regions(placed, ROUNDS)
+    if kinds.limit(1).count() == 0:
+        return changes
+    placed = placed.join(kinds.select("region").distinct(), "region", "left_semi")
+    largest = Window.partitionBy("region").orderBy(F.col("size").desc(), by_hash, "pivot")
+    pivots = cut(kinds.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= PIVOTS).select("region", "pivot"), "pivots")
+    met = cut(placed.join(pivots, "region").select("pivot", "id", "n").distinct(), "met")
+    distances = cut(measure_to_pivots(met, texts), "distances")
+    change(linked(distances).where("a <> b"))
+    several = mixed_regions(placed, ROUNDS)
+    if several.limit(1).count():
+        placed = placed.join(several.select("region").distinct(), "region", "left_semi")
+        changes.append(merged(join_cells(placed, distances, pivots, texts), placed))
     return changes
 
 
@@ -456,11 +480,17 @@ def join_cells(placed: DataFrame, distances: DataFrame, pivots: DataFrame, texts
     )
     # parts 0 .. rests - 1 are of the rest, those after of the main component; tasks are pairs of parts of which one is of the rest
     own = F.when(F.col("rest"), F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("mains")))
-    dealt = sided.join(load, "pivot").withColumn("own", own.cast("int"))
+    dealt = cut(sided.join(load, "pivot").withColumn("own", own.cast("int")), "dealt")
     with_part = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
-    tasks = dealt.select("pivot", "id", "component", "own", F.explode(with_part).alias("other"))
-    tasks = tasks.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
-    return cut(tasks.join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
+    alone = (F.col("rests") == 1) & (F.col("mains") == 1)
+    tasks = dealt.where(~alone).select("pivot", "id", "component", "own", F.explode(with_part).alias("other"))
+    tasks = tasks.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("pivot").alias("cell"), "id", "component")
+    # cells of one part of each kind are joined many to a task
+    small = dealt.where(alone)
+    size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    bundles = max(1, -(-size["rows"] // PART), -(-(size["n"] or 0) // BLOCK) if BLOCK else 1)
+    bundled = small.select(F.pmod(F.xxhash64(F.lit("bundle"), F.col("pivot")), F.lit(bundles)).cast("long").alias("pivot"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("pivot").alias("cell"), "id", "component")
+    return cut(tasks.unionByName(bundled).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
