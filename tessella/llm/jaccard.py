@@ -11,7 +11,8 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
     passage or a line does not meet: at first those that repeat within a task's share of documents, then those of crowded regions,
     whose documents are dealt out again. What is left are mostly near copies of one another, and what is known to be connected is not compared again.
     In each of ``ROUNDS`` rounds a region has one pivot, each document is measured to one of its regions' pivots, and what lies within the radius joins
-    the pivot's component. In regions that then hold more than one component, the distances of all documents to a document of each of the ``PIVOTS`` largest
+    the pivot's component. Regions that then hold more than one component and are connected by shared documents to no more than ``PART`` are joined at once, many such
+    to a task. In the others the distances of all documents to a document of each of the ``PIVOTS`` largest
     components are measured, and again those within the radius join. Regions that are still mixed are divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
     two radii further (triangle inequality). Regions that chose the same pivot share its cell. A cell is joined exactly in parts
     of bounded size, each part of documents outside the largest component with each part.
@@ -416,6 +417,13 @@ def join_cell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def bundled(cells: DataFrame) -> DataFrame:
+    """Small cells (cell, id, n, component) dealt out to tasks (pivot, i, j), many to one."""
+    size = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    bundles = max(1, -(-size["rows"] // PART), -(-(size["n"] or 0) // max(BLOCK, 1 << 12)))
+    return cells.select(F.pmod(F.xxhash64(F.lit("bundle"), F.col("cell")), F.lit(bundles)).cast("long").alias("pivot"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "cell", "id", "component")
+
+
 def mixed_regions(placed: DataFrame, seed: int) -> DataFrame:
     """(region, component, size, pivot, pivot_n) of regions with several components; the pivot is a document of the component, by a hash."""
     first = F.min(F.struct(F.xxhash64(F.lit(seed), F.col("id")), "id", "n")).alias("p")
@@ -447,6 +455,17 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
         met = met.groupBy("id").agg(F.min(F.struct("h", "pivot")).alias("p"), F.first("n").alias("n")).select("p.pivot", "id", "n")
         change(linked(cut(measure_to_pivots(cut(met, "met"), texts), "distances")))
     kinds = mixed_regions(placed, ROUNDS)
+    if kinds.limit(1).count() == 0:
+        return changes
+    placed = cut(placed.join(kinds.select("region").distinct(), "region", "left_semi"), "regions")
+    hubs = placed.groupBy("region").agg(F.min("id").alias("hub"))
+    edges = placed.join(hubs, "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    members = cut(placed.select("id", "n", "component").distinct().join(components(edges).withColumnRenamed("component", "cell"), "id"), "members")
+    few = members.groupBy("cell").agg(parts_of(F.count(F.lit(1)), F.sum("n")).alias("parts")).where("parts = 1").select("cell")
+    small = cut(members.join(few, "cell"), "small")
+    change(cut(small.transform(bundled).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long"), "links"))
+    placed = placed.join(small.select("id"), "id", "left_anti")
+    kinds = mixed_regions(placed, ROUNDS)
     if kinds.limit(1).count() == 0:
         return changes
     placed = placed.join(kinds.select("region").distinct(), "region", "left_semi")
@@ -485,12 +504,8 @@ def join_cells(placed: DataFrame, distances: DataFrame, pivots: DataFrame, texts
     alone = (F.col("rests") == 1) & (F.col("mains") == 1)
     tasks = dealt.where(~alone).select("pivot", "id", "component", "own", F.explode(with_part).alias("other"))
     tasks = tasks.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("pivot").alias("cell"), "id", "component")
-    # cells of one part of each kind are joined many to a task
-    small = dealt.where(alone)
-    size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    bundles = max(1, -(-size["rows"] // PART), -(-(size["n"] or 0) // BLOCK) if BLOCK else 1)
-    bundled = small.select(F.pmod(F.xxhash64(F.lit("bundle"), F.col("pivot")), F.lit(bundles)).cast("long").alias("pivot"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("pivot").alias("cell"), "id", "component")
-    return cut(tasks.unionByName(bundled).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
+    alike = dealt.where(alone).select(F.col("pivot").alias("cell"), "id", "n", "component").transform(bundled)
+    return cut(tasks.unionByName(alike).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
