@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.matrix import number_rows
+
 
 def max_normalise(df: DataFrame, *columns: str) -> DataFrame:
     """Columns divided by their largest values; the one row of maxima is broadcast."""
@@ -65,9 +67,8 @@ def frequent_pairs(df: DataFrame, a: str, b: str, least: int = 50) -> DataFrame:
 
 
 def every_nth(df: DataFrame, n: int, *order_by: str) -> DataFrame:
-    """Rows 0, n, 2n, ... by a total order. Meant for tables of distinct keys: the numbering is one task's."""
-    at = F.row_number().over(Window.orderBy(*order_by))
-    return df.withColumn("__at", at).where((F.col("__at") - 1) % n == 0).drop("__at")
+    """Rows 0, n, 2n, ... by a total order."""
+    return number_rows(df, order_by).where(F.col("__at") % n == 0).drop("__at")
 
 
 def within(df: DataFrame, others: DataFrame, *keys: str) -> DataFrame:

@@ -46,13 +46,24 @@ def aggregate_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[int],
     return aggregate(df, k, [func] * len(v), v, [f"{func}_{c}" for c in v])
 
 
-def spans(df: DataFrame, size: int, order_by: Sequence[str], out: str = "span") -> DataFrame:
-    """The number of the run of ``size`` rows that each row falls in, by a total order, found from partition sizes and not by one task."""
-    ordered = df.repartitionByRange(*(F.col(quoted(c)) for c in order_by)).sortWithinPartitions(*(F.col(quoted(c)) for c in order_by))
-    numbered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+def number_rows(df: DataFrame, order_by: Sequence[str], out: str = "__at") -> DataFrame:
+    """Rows numbered from 0 by a total order, found from partition sizes and not by one task.
+
+    The ordered rows are held once (in memory, then on disk), as they are read twice: to count partitions and to number rows; dealt anew, they
+    could be cut elsewhere. The number of partitions is fixed, so that they are not joined either.
+    """
+    columns = [F.col(quoted(c)) for c in order_by]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    numbered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
     # as many rows as partitions
     sizes = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     from pyspark.sql import Window
 
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
-    return numbered.join(F.broadcast(before), "__p").withColumn(out, F.floor((F.col("__before") + F.col("__i")) / size)).drop("__p", "__i", "__before")
+    return numbered.join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+
+
+def spans(df: DataFrame, size: int, order_by: Sequence[str], out: str = "span") -> DataFrame:
+    """The number of the run of ``size`` rows that each row falls in, by a total order."""
+    return number_rows(df, order_by, out).withColumn(out, F.floor(F.col(quoted(out)) / size))

@@ -41,10 +41,9 @@ def project(
 
     aggregates, known = {}, {}
     for op, source, out in zip(unary_ops, unary_in, unary_out, strict=True):
-        if source in known:  # a reduction of a scalar; of n equal values only these do not depend on n
-            if op not in ("max", "min", "avg"):
-                raise ValueError(f"{op} of the scalar {source!r}")
-            aggregates[out] = aggregates[source]
+        if source in known:  # a reduction of an earlier one: that is a column of one value
+            reduction(op)
+            aggregates[out] = F.count(F.lit(1)) * 0 + 1 if op == "count" else aggregates[source].cast("double") if op in ("avg", "prod") else aggregates[source]
         else:
             column = reduction(op)(F.col(quoted(source)))
             aggregates[out] = F.coalesce(column, F.lit(OF_NOTHING[op])) if op in OF_NOTHING else column

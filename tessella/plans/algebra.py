@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions.scalar import divide, quoted
+from tessella.functions.scalar import divide, is_floating, quoted
 
 # expressions
 
@@ -100,12 +101,18 @@ CALLS: dict[str, Callable[..., Column]] = {
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": lambda c: F.count(F.lit(1)), "min": F.min, "max": F.max, "avg": F.avg}
 
 
-def column(e: Expr) -> Column:
+def column(e: Expr, df: DataFrame | None = None) -> Column:
+    """With the frame it is of, comparisons are false for NaN, as those of the plain operators are."""
     if isinstance(e, Field):
         return F.col(quoted(e.name))
     if isinstance(e, Value):
         return F.lit(e.value)
-    return CALLS[e.op](*map(column, e.args))
+    held = CALLS[e.op](*(column(x, df) for x in e.args))
+    if df is not None and e.op in ("greater", "equal") and not isinstance(e.args[0], Value):
+        left = column(e.args[0], df)
+        if isinstance(df.select(left).schema[0].dataType, (T.FloatType, T.DoubleType)):
+            held = held & ~F.isnan(left)  # Spark by itself holds NaN larger than all and equal to itself
+    return held
 
 
 # plans
@@ -137,6 +144,13 @@ class Scan(Plan):
     table: str
 
 
+@dataclass(frozen=True, eq=False)
+class Frame(Plan):
+    """A DataFrame as it is."""
+
+    df: DataFrame
+
+
 @dataclass(frozen=True)
 class Project(Plan):
     child: Plan
@@ -188,17 +202,22 @@ def lower(plan: Plan, tables: Mapping[str, DataFrame] | Callable[[str], DataFram
     match plan:
         case Scan(name):
             return get(name)
+        case Frame(df):
+            return df
         case Project(child, out):
             return go(child).select(*(column(x.expr).alias(x.name) for x in out))
         case Select(child, predicate):
-            return go(child).filter(column(predicate))
+            df = go(child)
+            return df.filter(column(predicate, df))
         case Join(left, right, a, b):
             if not a or len(a) != len(b):
                 raise ValueError("a join needs as many keys on both sides, one at least")
             x, y = go(left), go(right)
             if clash := set(x.columns) & set(y.columns):
                 raise ValueError(f"both sides have {', '.join(sorted(clash))}")
-            return x.join(y, reduce(lambda p, q: p & q, (F.col(quoted(k)) == F.col(quoted(m)) for k, m in zip(a, b, strict=True))))
+            on = [F.col(quoted(k)) == F.col(quoted(m)) for k, m in zip(a, b, strict=True)]
+            on += [~F.isnan(F.col(quoted(k))) for k, m in zip(a, b, strict=True) if is_floating(x, k) and is_floating(y, m)]
+            return x.join(y, reduce(lambda p, q: p & q, on))
         case Group(child, by, out):
             return go(child).groupBy(*(F.col(quoted(k)) for k in by)).agg(*(AGGREGATES[f](column(e)).alias(n) for n, f, e in out))
         case Order(child, by):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import haversine_atan_m, haversine_m
 from tessella.operators import analytics, blocks, matrix
-from tessella.operators.relational import aggregate, equi_join
+from tessella.operators.relational import aggregate, equi_join, select
 from tessella.plans.tree import Evaluator, Node
 from tessella.session import table
-from tessella.sources import files
+from tessella.sources import files, generate
 
 QUERIES: dict = {}
 
@@ -22,11 +23,19 @@ QUERIES: dict = {}
 THRESHOLDS = (1, 50, 1000, 5000, 9000)
 
 
+def together(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def counted(df, **labels):
+    """One row: the labels and the number of rows."""
+    return aggregate(df, [], ["count"], [df.columns[0]], ["n"]).select(*(F.lit(v).alias(k) for k, v in labels.items()), "n")
+
+
 def sweep_selectivity(spark, d):
-    """How many rows pass ``key < t`` for each threshold, over keys 1 to 10000: all in one scan."""
+    """How many rows pass the selection ``key < t`` for each threshold, over keys 1 to 10000."""
     keys = table(spark, d, "lineitem").select((F.col("l_partkey") * 7919 % 10000 + 1).alias("key"))
-    one = keys.agg(*(F.sum((F.col("key") < t).cast("bigint")).alias(f"t{t}") for t in THRESHOLDS))
-    return one.select(F.expr(f"stack({len(THRESHOLDS)}, {', '.join(f'{t}L, t{t}' for t in THRESHOLDS)}) AS (threshold, n)"))
+    return together([counted(select(keys, ["key"], ["<"], [t]), threshold=t) for t in THRESHOLDS]).withColumn("threshold", F.col("threshold").cast("bigint"))
 
 
 QUERIES["sweep_selectivity"] = (sweep_selectivity, f"SELECT CAST(t AS BIGINT) AS threshold, (SELECT count(*) FROM lineitem WHERE l_partkey * 7919 % 10000 + 1 < t) AS n FROM (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]) AS t)")
@@ -63,6 +72,126 @@ QUERIES["partition_join"] = (
     "SELECT l_orderkey AS key1, o_orderkey AS key2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 
+# sweeps over generated rows: order, lengths of sections, clustering of keys
+
+N = 100_000
+
+
+def sweep_randomness(spark, d):
+    """A selection of half of the values, which come in order but for a share of the rows."""
+    return together([counted(select(generate.numbers(spark, N).select(generate.disordered(N, p).alias("v")), ["v"], ["<"], [N // 2]), percent=p) for p in (0, 10, 50, 100)])
+
+
+QUERIES["sweep_randomness"] = (
+    sweep_randomness,
+    f"SELECT CAST(p AS INTEGER) AS percent, count(*) AS n FROM range({N}) r(i), (SELECT unnest([0, 10, 50, 100]) AS p) WHERE CASE WHEN i * 31 % 100 < p THEN i * 7919 % {N} ELSE i END < {N // 2} GROUP BY p",
+)
+
+
+def sweep_sections(spark, d):
+    """A selection of one of two values that come in sections of equal length, and of one of ten, by length and ratio."""
+    frames = [counted(select(generate.numbers(spark, N).select(generate.sections(length, kinds).alias("v")), ["v"], ["=="], [0]), length=length, kinds=kinds) for length in (1, 64, 4096) for kinds in (2, 10)]
+    return together(frames)
+
+
+QUERIES["sweep_sections"] = (
+    sweep_sections,
+    f"SELECT CAST(l AS INTEGER) AS length, CAST(k AS INTEGER) AS kinds, count(*) AS n FROM range({N}) r(i), (SELECT unnest([1, 64, 4096]) AS l), (SELECT unnest([2, 10]) AS k) WHERE (i // l) % k = 0 GROUP BY l, k",
+)
+
+
+def sweep_group_clustering(spark, d):
+    """Grouped maximum and sum by keys in runs of 1, 100 and 10000 rows."""
+    frames = [aggregate(generate.numbers(spark, N).select(generate.clustered(N, 50, run).alias("key"), generate.permuted(N).alias("v")), ["key"], ["max", "sum"], ["v", "v"], ["top", "total"]).withColumn("run", F.lit(run)) for run in (1, 100, 10000)]
+    return together(frames)
+
+
+QUERIES["sweep_group_clustering"] = (
+    sweep_group_clustering,
+    f"SELECT (i // r.run) % 50 AS key, max(i * 7919 % {N}) AS top, CAST(sum(i * 7919 % {N}) AS BIGINT) AS total, CAST(r.run AS INTEGER) AS run FROM range({N}) t(i), (SELECT unnest([1, 100, 10000]) AS run) r GROUP BY 1, r.run",
+)
+
+
+def group_two_sections(spark, d):
+    """Grouped counts and minima where the first half has ten keys and the second a thousand."""
+    rows = generate.numbers(spark, N).select(generate.two_sections(N, 10, 1000).alias("key"), generate.permuted(N).alias("v"))
+    return aggregate(rows, ["key"], ["count", "min"], ["v", "v"], ["n", "least"])
+
+
+QUERIES["group_two_sections"] = (
+    group_two_sections,
+    f"SELECT CASE WHEN i < {N // 2} THEN i % 10 ELSE i % 1000 END AS key, count(*) AS n, min(i * 7919 % {N}) AS least FROM range({N}) t(i) GROUP BY 1",
+)
+
+
+def sweep_partition_join(spark, d):
+    """Joins of 100,000 rows with tables of 10, 1000 and 50,000 keys, which the rows have in runs or scattered."""
+    frames = []
+    for keys in (10, 1000, 50_000):
+        other = generate.numbers(spark, keys).select(F.col("i").alias("k"), (F.col("i") * 3).alias("w"))
+        for run in (1, 1000):
+            rows = generate.numbers(spark, N).select(generate.clustered(N, keys, run).alias("key"))
+            joined = equi_join(rows, other, ["key"], ["k"])
+            frames.append(aggregate(joined, [], ["count", "sum"], ["w", "w"], ["n", "total"]).select(F.lit(keys).alias("keys"), F.lit(run).alias("run"), "n", "total"))
+    return together(frames)
+
+
+QUERIES["sweep_partition_join"] = (
+    sweep_partition_join,
+    f"""SELECT CAST(c AS INTEGER) AS keys, CAST(r AS INTEGER) AS run, count(*) AS n, CAST(sum(k.i * 3) AS BIGINT) AS total
+    FROM range({N}) t(i), (SELECT unnest([10, 1000, 50000]) AS c), (SELECT unnest([1, 1000]) AS r), range(50000) k(i) WHERE k.i < c AND k.i = (t.i // r) % c GROUP BY c, r""",
+)
+
+# trees with tables in them, and the richer dialect as data
+
+NUMBERS_TABLE = Node("Table", Node("a", Node("List", 1, 2, 3), Node("List", 4)), Node("b", Node("List", 1.5, float("nan"), 3.5, 1.5)), Node("c", Node("List", "x", "y", "x", "z")))
+GIVEN = "(VALUES (1, 1.5::DOUBLE, 'x'), (2, 'nan'::DOUBLE, 'y'), (3, 3.5::DOUBLE, 'x'), (4, 1.5::DOUBLE, 'z')) t(a, b, c)"
+
+
+def tree(node):
+    return lambda spark, d: Evaluator(spark, lambda name: table(spark, d, name))(node)
+
+
+QUERIES["tree_table_literal"] = (tree(NUMBERS_TABLE), f"SELECT CAST(a AS BIGINT) AS a, b, c FROM {GIVEN}")
+QUERIES["tree_project"] = (
+    tree(Node("project", NUMBERS_TABLE, ["sum", "count"], ["a", "a"], ["s", "n"], ["a"], ["*"], [2], ["twice"], ["a", "twice", "s", "n"])),
+    f"SELECT CAST(a AS BIGINT) AS a, CAST(2 * a AS BIGINT) AS twice, CAST(sum(a) OVER () AS BIGINT) AS s, count(*) OVER () AS n FROM {GIVEN}",
+)
+QUERIES["tree_reduction_of_reduction"] = (
+    tree(Node("project", NUMBERS_TABLE, ["sum", "sum", "count", "max"], ["a", "s", "s", "n"], ["s", "ss", "n", "m"], [], [], [], [], ["s", "ss", "n", "m"])),
+    f"SELECT CAST(sum(a) AS BIGINT) AS s, CAST(sum(a) AS BIGINT) AS ss, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS m FROM {GIVEN}",
+)
+QUERIES["tree_equi_join"] = (
+    tree(Node("equi_join", NUMBERS_TABLE, Node("Table", Node("k", Node("List", 2, 4, 4, 9)), Node("v", Node("List", "p", "q", "r", "s"))), ["a"], ["k"])),
+    f"SELECT CAST(a AS BIGINT) AS a, b, c, CAST(k AS BIGINT) AS k, v FROM {GIVEN} JOIN (VALUES (2, 'p'), (4, 'q'), (4, 'r'), (9, 's')) s(k, v) ON a = k",
+)
+QUERIES["tree_nan_join"] = (
+    tree(Node("Join", NUMBERS_TABLE, Node("Table", Node("d", Node("List", float("nan"), 1.5))), Node("Where", Node("Equal", "b", "d")))),
+    f"SELECT CAST(a AS BIGINT) AS a, b, c, d FROM {GIVEN} JOIN (VALUES ('nan'::DOUBLE), (1.5::DOUBLE)) s(d) ON b = d AND NOT isnan(b)",
+)
+QUERIES["tree_nan_select"] = (
+    tree(Node("Select", NUMBERS_TABLE, Node("Where", Node("And", Node("Greater", "b", 1.0), Node("Greater", 4, "a"))))),
+    f"SELECT CAST(a AS BIGINT) AS a, b, c FROM {GIVEN} WHERE b > 1.0 AND NOT isnan(b) AND a < 4",
+)
+QUERIES["tree_nan_keys"] = (
+    tree(Node("equi_join", NUMBERS_TABLE, Node("Table", Node("d", Node("List", float("nan"), 3.5))), ["b"], ["d"])),
+    f"SELECT CAST(a AS BIGINT) AS a, b, c, d FROM {GIVEN} JOIN (VALUES ('nan'::DOUBLE), (3.5::DOUBLE)) s(d) ON b = d AND NOT isnan(b)",
+)
+QUERIES["tree_og_group"] = (
+    tree(Node("Group", Node("table", "lineitem"), Node("By", "l_returnflag"), Node("As", "least", Node("Min", "l_quantity"), "most", Node("Max", "l_quantity"), "n", Node("Count", "l_quantity")))),
+    "SELECT l_returnflag, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+)
+_net = Node("Times", "l_extendedprice", Node("Minus", 1, "l_discount"))
+_orders = Node("Project", Node("Select", Node("table", "orders"), Node("Where", Node("Greater", Node("DateObject", "1995-03-15"), "o_orderdate"))), Node("As", "o_orderkey", "o_orderkey", "o_orderdate", "o_orderdate"))
+_sold = Node("Select", Node("table", "lineitem"), Node("Where", Node("Greater", "l_shipdate", Node("DateObject", "1995-03-15"))))
+QUERIES["tree_og_q3"] = (
+    lambda spark, d: tree(
+        Node("Top", Node("Group", Node("Join", _sold, _orders, Node("Where", Node("Equal", "l_orderkey", "o_orderkey"))), Node("By", "l_orderkey"), Node("As", "revenue", Node("Sum", _net))), Node("By", Node("Desc", "revenue"), "l_orderkey"), 10)
+    )(spark, d).withColumn("revenue", F.round("revenue", 2)),
+    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_shipdate > DATE '1995-03-15' AND o_orderdate < DATE '1995-03-15' GROUP BY l_orderkey ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, l_orderkey LIMIT 10""",
+)
+
 # matrices
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -38,10 +38,14 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType | str, header
 
 
 def read_tbl(spark: SparkSession, path: str, columns: T.StructType | str) -> DataFrame:
-    """Pipe-separated files whose lines end in a separator."""
+    """Pipe-separated files whose lines end in a separator. Values that do not parse, and lines of fewer or more fields, fail the read."""
+    from pyspark.sql import functions as F
+
     ddl = columns if isinstance(columns, T.StructType) else T.StructType.fromDDL(columns)
     trailing = T.StructType([*ddl.fields, T.StructField("__end", T.StringType())])
-    return spark.read.csv(path, schema=trailing, sep="|", header=False, mode="PERMISSIVE").drop("__end")
+    return spark.read.csv(path, schema=trailing, sep="|", header=False, mode="FAILFAST", columnNameOfCorruptRecord="__corrupt").where(
+        F.when(F.col("__end").isNull() | (F.col("__end") == ""), F.lit(True)).otherwise(F.raise_error(F.lit("a line has more fields than columns")).cast("boolean"))
+    ).drop("__end")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
