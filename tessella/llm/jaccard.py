@@ -12,8 +12,8 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
     whose documents are dealt out again. What is left are mostly near copies of one another, and what is known to be connected is not compared again.
     In each of ``ROUNDS`` rounds a region has one pivot, each document is measured to one of its regions' pivots, and what lies within the radius joins
     the pivot's component. Regions that then hold more than one component and are connected by shared documents to no more than ``PART`` are joined at once, many such
-    to a task. In the others the distances of all documents to a document of each of the ``PIVOTS`` largest
-    components are measured, and again those within the radius join. Regions that are still mixed are divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
+    to a task. In the others the distances of all documents to a document of each of ``PIVOTS`` components, chosen by a hash of documents, are measured, and again
+    those within the radius join. Regions that chose the same pivots are one from then on. Those still mixed are divided: a document belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most
     two radii further (triangle inequality). Regions that chose the same pivot share its cell. A cell is joined exactly in parts
     of bounded size, each part of documents outside the largest component with each part.
 
@@ -58,6 +58,8 @@ DEAL = 1 << 18
 #: Shingles and documents of a part of a cell, or of the documents that one task measures to a pivot.
 BLOCK = 1 << 19
 PART = 256
+#: Documents of small cells that one task joins, on average.
+BUNDLE = 64
 #: Pivots of a region to which all its documents are measured, and rounds of one pivot before.
 PIVOTS = 4
 ROUNDS = 1
@@ -348,7 +350,7 @@ def measure_group(table: pa.Table) -> pa.Table:
     """Distances of documents to one pivot."""
     opener = zstandard.ZstdDecompressor()
     pivot, ids, packed = table["pivot"][0].as_py(), table["id"].to_pylist(), table["packed"].to_pylist()
-    own = [opener.decompress(x) for i, x in zip(ids, packed, strict=True) if i is None]
+    own = sorted(opener.decompress(x) for i, x in zip(ids, packed, strict=True) if i is None)
     others = [(i, x) for i, x in zip(ids, packed, strict=True) if i is not None]
     out, at = [], 0
     while at < len(others):
@@ -420,7 +422,7 @@ def join_cell(table: pa.Table) -> pa.Table:
 def bundled(cells: DataFrame) -> DataFrame:
     """Small cells (cell, id, n, component) dealt out to tasks (pivot, i, j), many to one."""
     size = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    bundles = max(1, -(-size["rows"] // PART), -(-(size["n"] or 0) // max(BLOCK, 1 << 12)))
+    bundles = max(1, -(-size["rows"] // BUNDLE), -(-(size["n"] or 0) // max(BLOCK, 1 << 12)))
     return cells.select(F.pmod(F.xxhash64(F.lit("bundle"), F.col("cell")), F.lit(bundles)).cast("long").alias("pivot"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "cell", "id", "component")
 
 
@@ -469,27 +471,32 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
     if kinds.limit(1).count() == 0:
         return changes
     placed = placed.join(kinds.select("region").distinct(), "region", "left_semi")
-    largest = Window.partitionBy("region").orderBy(F.col("size").desc(), by_hash, "pivot")
-    pivots = cut(kinds.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= PIVOTS).select("region", "pivot"), "pivots")
-    met = cut(placed.join(pivots, "region").select("pivot", "id", "n").distinct(), "met")
+    # the components of the first documents by a hash: large ones are likely, and regions of much the same documents choose the same; those are one region from here on
+    order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(ROUNDS), F.col("pivot")), "pivot")
+    first = kinds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    pivots = first.groupBy("region").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    placed = cut(placed.join(pivots, "region").select(F.col("pivots").alias("region"), "id", "n", "component").distinct(), "regions")
+    met = cut(placed.select(F.explode("region").alias("pivot"), "id", "n").distinct(), "met")
     distances = cut(measure_to_pivots(met, texts), "distances")
     change(linked(distances).where("a <> b"))
     several = mixed_regions(placed, ROUNDS)
     if several.limit(1).count():
         placed = placed.join(several.select("region").distinct(), "region", "left_semi")
-        changes.append(merged(join_cells(placed, distances, pivots, texts), placed))
+        changes.append(merged(join_cells(placed, distances, texts), placed))
     return changes
 
 
-def join_cells(placed: DataFrame, distances: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect components within regions (region, id, n, component), given distances to the pivots (region, pivot)."""
+def join_cells(placed: DataFrame, distances: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect components within regions (region, id, n, component), named by their pivots, given distances to those."""
     radius = (100 - LEAST) / 100
-    far = distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / F.greatest("total", F.lit(1))).alias("d"))
-    at = placed.join(pivots, "region").join(far, ["pivot", "id"])
-    nearest = at.groupBy("region", "id").agg(F.min("d").alias("least"))
+    distance = 1 - F.col("shared") / F.greatest("total", F.lit(1))
+    # an id of several texts has no one distance and goes to every cell
+    far = distances.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.min(distance).alias("d"), (F.count(F.lit(1)) > 1).alias("several"))
+    at = placed.select("region", "id", "n", "component", F.explode("region").alias("pivot")).join(far, ["pivot", "id"])
+    near = at.groupBy("region", "id", "n", "component").agg(F.collect_list(F.struct("d", "pivot")).alias("at"), F.min("d").alias("least"), F.max("several").alias("several"))
     # a margin for rounding, on the safe side
-    inside = at.join(nearest, ["region", "id"]).where(F.col("d") <= F.col("least") + 2 * radius + 1e-9)
-    cells = cut(inside.select("pivot", "id", "n", "component").distinct(), "cells")
+    inside = F.filter("at", lambda x: F.col("several") | (x["d"] <= F.col("least") + 2 * radius + 1e-9))
+    cells = cut(near.select(F.explode(inside).alias("of"), "id", "n", "component").select("of.pivot", "id", "n", "component").distinct(), "cells")
     kinds = cells.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     main = kinds.groupBy("pivot").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     sided = cells.join(main.select("pivot", F.col("m.component").alias("main")), "pivot").withColumn("rest", F.col("component") != F.col("main"))
