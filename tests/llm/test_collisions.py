@@ -128,3 +128,33 @@ def test_crowded_regions_are_joined_exactly(spark, monkeypatch, part, rounds, pi
     got = by_id(jaccard.groups(spark.createDataFrame(made, "doc_id long, text string")), "n_shingles", "component_id")
     want = components_by_force(made)
     assert got == want and 1 < len({c for _, c in want.values()}) < len(made)
+
+
+def test_ids_of_several_texts_in_crowded_regions(spark, monkeypatch):
+    """Two texts share an id: a link of either counts, whichever is nearer to a pivot."""
+    for name, value in (("PART", 3), ("ROUNDS", 1), ("PIVOTS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(5)
+    made = []
+    for family in range(2):
+        kin = [f"f{family}_{k}" if k % 9 == family else f"w{k}" for k in range(80)]
+        for i in range(40):
+            w = list(kin)
+            at = int(rng.integers(0, 70))
+            w[at : at + int(rng.integers(0, 9))] = [f"y{int(rng.integers(0, 6))}"]
+            made.append((family * 100 + i, " ".join(w)))
+    # an id that holds a text of each family connects them
+    rows = made + [(7, made[45][1]), (7, made[3][1]), (7, made[3][1])]
+    apart = components_by_force([(k, t) for k, (_, t) in enumerate(rows)])
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (_, c) in apart.items():
+        a, b = find(rows[k][0]), find(rows[c][0])
+        root[max(a, b)] = min(a, b)
+    got = {(r.doc_id, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, find(i)) for i in root}
