@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+#: Bytes of a table for which one like it has a file, and the files it has at least.
+FILE_BYTES = 8 << 20
+LEAST_FILES = 4
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,10 +103,16 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: its lineage ends there, and lost executors cost nothing."""
+def cut(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: its lineage ends there, and lost executors cost nothing.
+
+    ``like`` is a table of about as many rows that was written before: the result then has a file for each
+    ``FILE_BYTES`` of it and not for each partition. It only makes partitions fewer, and only after the last shuffle.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if like is not None:
+        df = df.coalesce(min(1 << 20, max(LEAST_FILES, -(-input_bytes(like) // FILE_BYTES))))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

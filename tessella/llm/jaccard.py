@@ -383,7 +383,7 @@ def merged(links: DataFrame, placed: DataFrame) -> DataFrame:
     """(id, component) of components that links between documents (region, id, n, component) connect with others."""
     names = placed.select("id", "component").distinct()
     ends = links.join(names.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
-    return components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), placed)
 
 
 def join_cell(table: pa.Table) -> pa.Table:
@@ -431,7 +431,7 @@ def mixed_regions(placed: DataFrame, seed: int) -> DataFrame:
     first = F.min(F.struct(F.xxhash64(F.lit(seed), F.col("id")), "id", "n")).alias("p")
     kinds = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"), first)
     several = kinds.groupBy("region").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("region")
-    return cut(kinds.join(several, "region").select("region", "component", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "kinds")
+    return cut(kinds.join(several, "region").select("region", "component", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "kinds", placed)
 
 
 def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> list[DataFrame]:
@@ -439,12 +439,12 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
     changes: list[DataFrame] = []
     if crowded.limit(1).count() == 0:
         return changes
-    placed = cut(crowded.join(labels, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("component")), "regions")
+    placed = cut(crowded.join(labels, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("component")), "regions", crowded)
 
     def change(links: DataFrame) -> None:
         nonlocal placed
         changes.append(merged(links, placed))
-        placed = cut(renamed(placed, changes[-1], "component").select("region", "id", "n", "component"), "regions")
+        placed = cut(renamed(placed, changes[-1], "component").select("region", "id", "n", "component"), "regions", placed)
 
     by_hash = F.xxhash64(F.lit("pivot"), F.col("pivot"))
     for number in range(ROUNDS):
@@ -455,16 +455,16 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
         one = kinds.groupBy("region").agg(F.min(F.struct(by_hash.alias("h"), "pivot", "pivot_n", F.col("component").alias("other"))).alias("p")).select("region", "p.*")
         met = placed.join(one, "region").where((F.col("component") != F.col("other")) & (100 * F.least("n", "pivot_n") >= LEAST * F.greatest("n", "pivot_n")))
         met = met.groupBy("id").agg(F.min(F.struct("h", "pivot")).alias("p"), F.first("n").alias("n")).select("p.pivot", "id", "n")
-        change(linked(cut(measure_to_pivots(cut(met, "met"), texts), "distances")))
+        change(linked(cut(measure_to_pivots(cut(met, "met", placed), texts), "distances")))
     kinds = mixed_regions(placed, ROUNDS)
     if kinds.limit(1).count() == 0:
         return changes
-    placed = cut(placed.join(kinds.select("region").distinct(), "region", "left_semi"), "regions")
+    placed = cut(placed.join(kinds.select("region").distinct(), "region", "left_semi"), "regions", placed)
     hubs = placed.groupBy("region").agg(F.min("id").alias("hub"))
     edges = placed.join(hubs, "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    members = cut(placed.select("id", "n", "component").distinct().join(components(edges).withColumnRenamed("component", "cell"), "id"), "members")
+    members = cut(placed.select("id", "n", "component").distinct().join(components(edges, placed).withColumnRenamed("component", "cell"), "id"), "members", placed)
     few = members.groupBy("cell").agg(parts_of(F.count(F.lit(1)), F.sum("n")).alias("parts")).where("parts = 1").select("cell")
-    small = cut(members.join(few, "cell"), "small")
+    small = cut(members.join(few, "cell"), "small", members)
     change(cut(small.transform(bundled).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long"), "links"))
     placed = placed.join(small.select("id"), "id", "left_anti")
     kinds = mixed_regions(placed, ROUNDS)
@@ -475,8 +475,8 @@ def join_crowded(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> lis
     order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(ROUNDS), F.col("pivot")), "pivot")
     first = kinds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
     pivots = first.groupBy("region").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-    placed = cut(placed.join(pivots, "region").select(F.col("pivots").alias("region"), "id", "n", "component").distinct(), "regions")
-    met = cut(placed.select(F.explode("region").alias("pivot"), "id", "n").distinct(), "met")
+    placed = cut(placed.join(pivots, "region").select(F.col("pivots").alias("region"), "id", "n", "component").distinct(), "regions", members)
+    met = cut(placed.select(F.explode("region").alias("pivot"), "id", "n").distinct(), "met", placed)
     distances = cut(measure_to_pivots(met, texts), "distances")
     change(linked(distances).where("a <> b"))
     several = mixed_regions(placed, ROUNDS)
@@ -496,7 +496,7 @@ def join_cells(placed: DataFrame, distances: DataFrame, texts: DataFrame) -> Dat
     near = at.groupBy("region", "id", "n", "component").agg(F.collect_list(F.struct("d", "pivot")).alias("at"), F.min("d").alias("least"), F.max("several").alias("several"))
     # a margin for rounding, on the safe side
     inside = F.filter("at", lambda x: F.col("several") | (x["d"] <= F.col("least") + 2 * radius + 1e-9))
-    cells = cut(near.select(F.explode(inside).alias("of"), "id", "n", "component").select("of.pivot", "id", "n", "component").distinct(), "cells")
+    cells = cut(near.select(F.explode(inside).alias("of"), "id", "n", "component").select("of.pivot", "id", "n", "component").distinct(), "cells", distances)
     kinds = cells.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     main = kinds.groupBy("pivot").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     sided = cells.join(main.select("pivot", F.col("m.component").alias("main")), "pivot").withColumn("rest", F.col("component") != F.col("main"))
@@ -506,13 +506,13 @@ def join_cells(placed: DataFrame, distances: DataFrame, texts: DataFrame) -> Dat
     )
     # parts 0 .. rests - 1 are of the rest, those after of the main component; tasks are pairs of parts of which one is of the rest
     own = F.when(F.col("rest"), F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64(F.lit("cell"), F.col("id")), F.col("mains")))
-    dealt = cut(sided.join(load, "pivot").withColumn("own", own.cast("int")), "dealt")
+    dealt = cut(sided.join(load, "pivot").withColumn("own", own.cast("int")), "dealt", cells)
     with_part = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
     alone = (F.col("rests") == 1) & (F.col("mains") == 1)
     tasks = dealt.where(~alone).select("pivot", "id", "component", "own", F.explode(with_part).alias("other"))
     tasks = tasks.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("pivot").alias("cell"), "id", "component")
     alike = dealt.where(alone).select(F.col("pivot").alias("cell"), "id", "n", "component").transform(bundled)
-    return cut(tasks.unionByName(alike).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links")
+    return cut(tasks.unionByName(alike).join(texts, "id").groupBy("pivot", "i", "j").applyInArrow(join_cell, "a long, b long").distinct(), "links", dealt)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -531,20 +531,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         again = cut(replicate(rows, bits, late, flag_parts(crowded.select("b"), context)).groupBy("bucket").applyInArrow(join_bucket, FOUND), "regions")
         pairs = pairs.unionByName(again.where("not crowded").select("a", "b"))
         crowded = again.where("crowded")
-    pairs = cut(pairs.distinct(), "pairs")
+    pairs = cut(pairs.distinct(), "pairs", found)
     # equal sets of different flushes enter a region once
     once = crowded.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("m"))
-    crowded = cut(once.select(F.col("a").alias("region"), F.col("m.b").alias("id"), F.col("m.nb").alias("n")), "crowded")
+    crowded = cut(once.select(F.col("a").alias("region"), F.col("m.b").alias("id"), F.col("m.nb").alias("n")), "crowded", found)
     wanted = flag_parts(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")), context)
     texts = cut(packed_texts(rows, wanted), "texts")
     links = linked(measure(pairs, texts))
     named = sets.where("n > 0 and id is not null")
     # rows that repeat an id are one node: linked to the representatives of each of their sets
-    classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "classes")
+    classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "classes", scanned)
     repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
     bridges = named.join(repeated, "id").join(classes, ["f1", "f2", "n"]).where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
-    links = cut(links.unionByName(bridges).distinct(), "links")
-    labels = components(links)
+    links = cut(links.unionByName(bridges).distinct(), "links", scanned)
+    labels = components(links, links)
     changes = join_crowded(crowded, labels, texts)
     own = sets.join(classes.withColumnRenamed("least", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     joined = own.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
