@@ -141,7 +141,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     # chunks are the same only if their bytes are
     equal = _bytes(rows, marked, every).groupBy("digest", "raw").agg(F.min("id").alias("first"), F.max("id").alias("b")).where("first < b").select("digest", "first")
     # bytes that share a digest and differ would stand here twice; neither is then removed
-    sure = cut(equal.groupBy("digest").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "line-repeats")
+    sure = cut(equal.groupBy("digest").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "line-repeats", held)
     return held.join(sure, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("gone"))
 
 
