@@ -34,14 +34,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are connected by near copies, the one of smallest id."""
     gone = jaccard.groups(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(cut(gone, "near-copies"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return docs.join(cut(gone, "near-copies", docs), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(cut(gone, "contaminated"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return docs.join(cut(gone, "contaminated", docs), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
