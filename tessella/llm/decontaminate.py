@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised questions and answers.
 
-Texts are normalised to lower-case words between single spaces; every window of ``n`` words of an
-item (the whole item where it has fewer) is a key of the automaton. A text is scanned once, and
-the ends of occurrences are mapped back to words and so to bytes of the original text.
+Texts are normalised to lower-case words, and words of items are numbered; every window of ``n`` words of an
+item (the whole item where it has fewer) is a key of the automaton, in which a word is the two digits of its number. A text is
+scanned once, and the ends of occurrences are mapped back to words and so to bytes of the original text.
 
 Defined cases: null, empty and punctuation-only texts have no words and are never contaminated; an
 item without words has no window; repeated items count once by their id, an item without an id hits
@@ -13,6 +13,7 @@ of either table are dropped.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,45 +37,53 @@ def normal_table() -> bytes:
     return table.tobytes()
 
 
-def windows(words: list[bytes], n: int) -> list[bytes]:
+def windows(words: list[str], n: int) -> list[str]:
     """All runs of ``n`` words, or the one run of fewer words."""
-    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    return ["".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def build(items: list[tuple[str, bytes]], n: int) -> tuple[ahocorasick.Automaton | None, list[tuple[int, tuple[str, ...]]]]:
-    """The automaton, whose values number the keys; for each key its length in words and its items."""
+def digits(texts: list[list[bytes]]) -> dict[bytes, str]:
+    """Two letters for each word, its number to the base of a root of all, so that no node has many edges; the first letter of a word is no word's second, and NUL is in none."""
+    words = dict.fromkeys(w for text in texts for w in text)
+    base = math.isqrt(len(words)) + 1
+    return {w: chr(1 + k // base) + chr(1 + base + k % base) for k, w in enumerate(words)}
+
+
+def build(items: list[tuple[str, bytes]], n: int) -> tuple[ahocorasick.Automaton | None, dict[bytes, str], list[tuple[int, tuple[str, ...]]]]:
+    """The automaton, whose values number the keys; the letters of words; for each key its length in words and its items."""
     table, of = normal_table(), defaultdict(set)
-    for name, text in items:
-        for w in windows(text.translate(table).split(), n):
+    texts = [text.translate(table).split() for _, text in items]
+    letters = digits(texts)
+    for (name, _), words in zip(items, texts, strict=True):
+        for w in windows([letters[x] for x in words], n):
             of[w].add(name)
     if not of:
-        return None, []
-    automaton, keys = ahocorasick.Automaton(), []
+        return None, letters, []
+    automaton, keys = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
     for w, names in of.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", len(keys))
-        keys.append((w.count(b" ") + 1, tuple(sorted(names))))
+        automaton.add_word(w, len(keys))
+        keys.append((len(w) // 2, tuple(sorted(names))))
     automaton.make_automaton()
-    return automaton, keys
+    return automaton, letters, keys
 
 
 class Scanner:
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.table = normal_table()
-        self.automaton, self.keys = build(items, n)
+        self.automaton, self.letters, self.keys = build(items, n)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, disjoint ranges of hit words in order, names of items that occur."""
         words = text.translate(self.table).split()
         if not words or self.automaton is None:
             return len(words), [], set()
-        found = list(self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "))
+        get = self.letters.get
+        found = list(self.automaton.iter("".join([get(w, "\0\0") for w in words])))
         if not found:
             return len(words), [], set()
-        ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
-        last = np.searchsorted(ends, [e for e, _ in found])
         names: set[str] = set()
         ranges: list[tuple[int, int]] = []
-        for start, stop in sorted((int(j) + 1 - self.keys[k][0], int(j) + 1) for j, (_, k) in zip(last, found, strict=True)):
+        for start, stop in sorted((end // 2 + 1 - self.keys[k][0], end // 2 + 1) for end, k in found):
             if ranges and start <= ranges[-1][1]:
                 ranges[-1] = (ranges[-1][0], max(stop, ranges[-1][1]))
             else:
