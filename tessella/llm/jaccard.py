@@ -18,7 +18,9 @@ almost all pairs of documents are at distance 1 and a document says nothing of w
     of bounded size, each part of documents outside the largest component with each part.
 
 The order only changes what work is done, never the result. Equal sets (128 bits of fingerprint and the size) are one class, represented by its smallest
-id, and enter a region once. All pairs are verified on the words of whole texts, by comparison and not by hashes.
+id, and enter a region once. All pairs are verified on the words of whole texts, by comparison and not by hashes. Pairs
+of small regions are first held against sketches of about a bit a shingle, which bound the difference of two sets from below: texts
+travel only for those that may link.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; texts of fewer than five words
 have one shingle, the whole; very long texts are hashed in pieces and hold in memory their words and 16 bytes a shingle; rows that repeat an id are one node, linked by each of their texts; rows without an
@@ -63,6 +65,8 @@ BUNDLE = 64
 #: Pivots of a region to which all its documents are measured, and rounds of one pivot before.
 PIVOTS = 4
 ROUNDS = 1
+#: Bits of a sketch, at least and at most.
+SKETCH = (64, 1 << 16)
 #: Bytes of text whose shingles are numbered together.
 TOGETHER = 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
@@ -113,12 +117,35 @@ def class_of(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
     return f1 ^ mix(f2)
 
 
+def sketches(h: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """For each set the parities of how many of its shingles fall on each bit: a power of two of bits, as many as shingles or more."""
+    if len(start) < 2:
+        return []
+    n = np.diff(start)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    at = (mix(h[0] ^ np.uint64(0xA4093822299F31D0)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], n)
+    packed = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((first[:-1] >> 3).tolist(), (first[1:] >> 3).tolist(), strict=True)]
+
+
+def difference(x: bytes, y: bytes) -> int:
+    """So many shingles at least are in one of two sets only: a shingle of both changes no parity of their sum."""
+    if len(x) < len(y):
+        x, y = y, x
+    size, a = len(x), int.from_bytes(x, "little")
+    while size > len(y):  # folded, it is the sketch of half the bits
+        size //= 2
+        a = (a >> 8 * size) ^ (a & ((1 << 8 * size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def profiles(rows: DataFrame, bits: int) -> DataFrame:
-    """(id, n, f1, f2, common): size and fingerprints of every document's set; with ``common``, region names (id) of shingles that are common in a task's share of documents, and in how many (n)."""
+    """(id, n, f1, f2, sketch, common): size, fingerprints and sketch of every document's set; with ``common``, region names (id) of shingles that are common in a task's share of documents, and in how many (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, count = Shingler(), [], 0
-        names, kinds = ["id", "n", "f1", "f2", "common"], (*[pa.int64()] * 4, pa.bool_())
+        names, kinds = ["id", "n", "f1", "f2", "sketch", "common"], (*[pa.int64()] * 4, pa.binary(), pa.bool_())
 
         def flush() -> pa.RecordBatch:
             h, classes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -131,27 +158,28 @@ def profiles(rows: DataFrame, bits: int) -> DataFrame:
             size = np.diff(edges)
             often = size >= COMMON
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(pivot_of(h[edges[:-1]][often], bits).view(np.int64)), pa.array(size[often], pa.int64()), none, none, pa.array(np.ones(len(none), bool))], names)
+            return pa.RecordBatch.from_arrays([pa.array(pivot_of(h[edges[:-1]][often], bits).view(np.int64)), pa.array(size[often], pa.int64()), none, none, pa.nulls(len(none), pa.binary()), pa.array(np.ones(len(none), bool))], names)
 
         for batch in batches:
             data, bounds = utf8(batch.column(1))
-            parts = []
+            parts, drawn = [], []
             for i, j in chunks(bounds):
                 h, start = shingler.sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 n = np.diff(start)
                 parts.append((n, *fingerprints(h, start)))
+                drawn += sketches(h, start)
                 held.append((h[0], np.repeat(class_of(*parts[-1][1:]), n)))
                 count += h.shape[1]
                 if count >= FLUSH:
                     yield flush()
                     held, count = [], 0
             n, a, b = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64),) * 3
-            own = (batch.column(0), n, a.view(np.int64), b.view(np.int64), np.zeros(len(n), bool))
+            own = (batch.column(0), n, a.view(np.int64), b.view(np.int64), drawn, np.zeros(len(n), bool))
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds, strict=True)], names)
         if held:
             yield flush()
 
-    return map_arrow(rows, run, "id long, n long, f1 long, f2 long, common boolean")
+    return map_arrow(rows, run, "id long, n long, f1 long, f2 long, sketch binary, common boolean")
 
 
 def late_shingles(counted: DataFrame) -> bytes:
@@ -285,6 +313,21 @@ def join_bucket(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["a", "b", "na", "nb", "crowded"])
 
 
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of (a, b) that may link by the sketches of their sets (id, n, sketch); a pair that links is never lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = (pc.add(batch.column(2), batch.column(3))).to_pylist()
+            # of the sum of sizes s and the difference d, the union is (s + d) / 2 and the intersection (s - d) / 2
+            near = [(100 + LEAST) * difference(x, y) <= (100 - LEAST) * s for s, x, y in zip(total, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    both = right.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").select("a", "b", "na", "nb", "sa", "sb")
+    return map_arrow(both, run, "a long, b long").distinct()
+
+
 def packed_texts(rows: DataFrame, marked) -> DataFrame:
     """(id, packed): compressed texts of flagged documents."""
 
@@ -535,6 +578,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # equal sets of different flushes enter a region once
     once = crowded.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("m"))
     crowded = cut(once.select(F.col("a").alias("region"), F.col("m.b").alias("id"), F.col("m.nb").alias("n")), "crowded", found)
+    pairs = cut(likely(pairs, sets.where("n > 0 and id is not null")), "likely", pairs)
     wanted = flag_parts(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")), context)
     texts = cut(packed_texts(rows, wanted), "texts")
     links = linked(measure(pairs, texts))
