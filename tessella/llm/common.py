@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,7 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 #: Bytes of a table for which one like it has a file, and the files it has at least.
 FILE_BYTES = 8 << 20
 LEAST_FILES = 4
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,6 +105,17 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Files of shuffles go as soon as what they were made for is written; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: its lineage ends there, and lost executors cost nothing.
 
@@ -113,7 +126,8 @@ def cut(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     path = new_path(spark, name)
     if like is not None:
         df = df.coalesce(min(1 << 20, max(LEAST_FILES, -(-input_bytes(like) // FILE_BYTES))))
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
