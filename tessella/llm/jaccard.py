@@ -67,6 +67,13 @@ PIVOTS = 4
 ROUNDS = 1
 #: Bits of a sketch, at least and at most.
 SKETCH = (64, 1 << 16)
+#: Documents of a region, rows of a task and their shingles that are held against one another by sketches at once, and words of sketches.
+SIFT = 1 << 10
+SIFT_ROWS = 1 << 11
+SIFT_SHINGLES = 1 << 22
+SIFT_WORDS = 1 << 21
+#: Documents of a region that tell whether one is like many.
+PROBE = 256
 #: Bytes of text whose shingles are numbered together.
 TOGETHER = 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
@@ -328,6 +335,78 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, "a long, b long").distinct()
 
 
+def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Which of sets of ``nx`` shingles may link with which of ``ny``, by sketches in words of 64 bits, those of ``y`` with half, as many or twice the bits."""
+    if x.shape[1] != y.shape[1]:
+        half = min(x.shape[1], y.shape[1])
+        x, y = (w if w.shape[1] == half else w[:, :half] ^ w[:, half:] for w in (x, y))
+    least = np.bitwise_count(x[:, None] ^ y).sum(-1, dtype=np.int64)
+    return ((100 + LEAST) * least <= (100 - LEAST) * (nx[:, None] + ny)) & (100 * np.minimum(nx[:, None], ny) >= LEAST * np.maximum(nx[:, None], ny))
+
+
+def sift_regions(table: pa.Table) -> pa.Table:
+    """Documents (region, id, n, own, sketch) of many regions, or of two parts of one: pairs (a < b) that may link by their sketches; of documents
+    that may link with more than ``REGION`` others, pairs among themselves are left out, and instead region (a), document (b) and its size (n) go on as crowded."""
+    across = table["i"][0].as_py() != table["j"][0].as_py()
+    regions, ids, sizes, own = (table[c].to_numpy() for c in ("region", "id", "n", "own"))
+    drawn = table["sketch"].to_pylist()
+    length = np.array([len(x) for x in drawn]) // 8
+    order = np.lexsort((mix(ids.astype(np.uint64)), regions))
+    edges = split_sorted(regions[order])
+    pairs, dense = [], []
+
+    def near(rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some of ``rows`` at a time, and which of ``others`` each may link with."""
+
+        def by_length(of: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            at = {int(k): np.flatnonzero(length[of] == k) for k in np.unique(length[of])}
+            return {k: (x, np.frombuffer(b"".join([drawn[r] for r in of[x]]), np.uint64).reshape(-1, k)) for k, x in at.items()}
+
+        columns = by_length(others)
+        for k, (at, words) in by_length(rows).items():
+            step = max(1, SIFT_WORDS // (len(others) * k))
+            for low in range(0, len(at), step):
+                some = rows[at[low : low + step]]
+                out = np.zeros((len(some), len(others)), bool)
+                for width in (k // 2, k, 2 * k):  # sets of other lengths differ too much in size
+                    if width in columns:
+                        to, sketch = columns[width]
+                        out[:, to] = may_link(words[low : low + step], sizes[some], sketch, sizes[others[to]])
+                out &= ids[some][:, None] != ids[others]
+                yield some, out & (own[some][:, None] != own[others]) if across else out
+
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rows = every = order[a:b]
+        if len(rows) > PROBE:  # what is like many of a few needs no look at the others, which look at it
+            found = [(some[often], some[~often]) for some, out in near(rows, every[:PROBE]) for often in [out.sum(1) > REGION]]
+            dense.append(np.concatenate([x for x, _ in found]))
+            rows = np.concatenate([x for _, x in found])
+        for some, out in near(rows, every):
+            often = out.sum(1) > REGION
+            dense.append(some[often])
+            x, y = np.nonzero(out & ~often[:, None])
+            x, y = ids[some[x]], ids[every[y]]
+            pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=1)
+    dense = np.concatenate([np.zeros(0, np.int64), *dense])
+    flag = np.arange(pairs.shape[1] + len(dense)) >= pairs.shape[1]
+    columns = [*(np.concatenate(x) for x in ((pairs[0], regions[dense]), (pairs[1], ids[dense]), (np.zeros(pairs.shape[1], np.int64), sizes[dense]))), flag]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.bool_()), strict=True)], names=["a", "b", "n", "crowded"])
+
+
+def sift(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, crowded) of crowded regions (region, id, n), by the sketches of ``sets`` (id, n, sketch): every pair that may link is among the pairs, or both go on as crowded in a region."""
+    total = crowded.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    bundles = max(1, -(-total["rows"] // SIFT_ROWS), -(-(total["n"] or 0) // SIFT_SHINGLES))
+    load = crowded.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIFT), F.ceil(F.sum("n") / SIFT_SHINGLES), F.lit(1)).cast("int").alias("parts"))
+    dealt = crowded.join(load, "region").withColumn("own", F.pmod(F.xxhash64(F.lit("sift"), F.col("id")), F.col("parts")).cast("int"))
+    drawn = dealt.join(sets.select("id", "n", "sketch").distinct(), ["id", "n"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    whole = F.col("parts") == 1
+    task = F.when(whole, F.pmod(F.xxhash64(F.lit("bundle"), F.col("region")), F.lit(bundles))).otherwise(F.col("region")).alias("task")
+    i, j = (F.when(whole, -1).otherwise(of("own", "other")).alias(name) for name, of in (("i", F.least), ("j", F.greatest)))
+    return drawn.select(task, i, j, "region", "id", "n", "own", "sketch").groupBy("task", "i", "j").applyInArrow(sift_regions, "a long, b long, n long, crowded boolean")
+
+
 def packed_texts(rows: DataFrame, marked) -> DataFrame:
     """(id, packed): compressed texts of flagged documents."""
 
@@ -578,11 +657,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # equal sets of different flushes enter a region once
     once = crowded.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("m"))
     crowded = cut(once.select(F.col("a").alias("region"), F.col("m.b").alias("id"), F.col("m.nb").alias("n")), "crowded", found)
-    pairs = cut(likely(pairs, sets.where("n > 0 and id is not null")), "likely", pairs)
+    named = sets.where("n > 0 and id is not null")
+    near = likely(pairs, named)
+    if crowded.limit(1).count():
+        sifted = cut(sift(crowded, named), "sifted")
+        near = near.unionByName(sifted.where("not crowded").select("a", "b")).distinct()
+        crowded = cut(sifted.where("crowded").select(F.col("a").alias("region"), F.col("b").alias("id"), "n").distinct(), "dense", crowded)
+    pairs = cut(near, "likely", pairs)
     wanted = flag_parts(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")), context)
     texts = cut(packed_texts(rows, wanted), "texts")
     links = linked(measure(pairs, texts))
-    named = sets.where("n > 0 and id is not null")
     # rows that repeat an id are one node: linked to the representatives of each of their sets
     classes = cut(named.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "classes", scanned)
     repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
